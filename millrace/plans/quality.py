@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import profile as P
 from millrace.operators import references as R
+from millrace.operators import unpack as U
 from millrace.session import table
 
 
@@ -45,6 +46,10 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return U.unpack(table(spark, d, "golden_sample100"), "qid", "gold_doc_ids", "doc_id")
+
+
 _P1_ROWS = r"""
 WITH span AS (SELECT load_no, min(started_at) AS s, max(finished_at) AS f FROM loads WHERE load_no IS NOT NULL GROUP BY 1),
 r AS (SELECT raw.load_no, published_at AS p, collected_at AS c, title AS t, s, f,
@@ -105,7 +110,7 @@ f AS (SELECT chunk_id, indexed_at, CASE WHEN i.k IS NULL THEN 'missing'
         WHEN NOT always AND first_in > indexed_at THEN 'later' END AS reason
       FROM chunks LEFT JOIN i ON i.k = upper(trim(doc_id)) LEFT JOIN o ON o.k = upper(trim(doc_id)) WHERE trim(doc_id) <> '')"""
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_drift": p1_drift, "p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_drift": p1_drift, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
 SQL = {
     "p1_found": _P1_FOUND,
     "p1_profile": _P1_PROFILE,
