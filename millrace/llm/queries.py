@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, canonical, packing, repeated_lines
+from millrace.llm import bpe, canonical, packing, repeated_lines, truncation
 from millrace.session import cut, table
 
 
@@ -17,6 +17,14 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated(table(spark, d, "raw"), table(spark, d, "source_types"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "chunks"), table(spark, d, "raw"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "chunks"), table(spark, d, "raw"), table(spark, d, "source_types"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -63,6 +71,8 @@ o AS (SELECT code, form FROM f JOIN t USING (code) WHERE k IS NOT NULL GROUP BY
 QUERIES = {
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p7_ids": p7_ids,
     "p7_roundtrip": p7_roundtrip,
     "p8_containers": p8_containers,
