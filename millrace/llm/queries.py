@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, canonical, packing, repeated_lines, truncation
+from millrace.llm import bpe, canonical, email, packing, repeated_lines, truncation
 from millrace.session import cut, table
 
 
@@ -25,6 +25,14 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "chunks"), table(spark, d, "raw"), table(spark, d, "source_types"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return email.not_new_lines(table(spark, d, "raw"), table(spark, d, "source_types"))
+
+
+def p4_new_text(spark: SparkSession, d: str) -> DataFrame:
+    return email.newly_written(table(spark, d, "raw"), table(spark, d, "source_types"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -73,6 +81,8 @@ QUERIES = {
     "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
+    "p4_found": p4_found,
+    "p4_new_text": p4_new_text,
     "p7_ids": p7_ids,
     "p7_roundtrip": p7_roundtrip,
     "p8_containers": p8_containers,
