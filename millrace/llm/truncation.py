@@ -18,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.keys import SPACE_CLASS, SPACES, doc_key, with_type
+from millrace.functions.keys import SPACES, doc_key, with_type
+from millrace.session import cut
 
 #: Fixed lengths of the hashed prefixes.
 PREFIXES = [1, 2, 4, 8, 16, 32, 64, 128, 256]
 #: Marks that a cutting system leaves at the end.
-OMISSION = r"\s*(?:\.{2,}|…+|\x{FFFD}+|[\[(<](?:생략|중략|이하 생략|truncated|cut|more|snip|계속)[\])>])\s*$"
+OMISSION = r"(?:\.{2,}|…+|\x{FFFD}+|[\[(<](?:생략|중략|이하 생략|truncated|cut|more|snip|계속)[\])>])$"
 #: A sentence that ends; a full stop after a digit may be a decimal point.
 SENTENCE_END = r"""(?:[^\d.…][.]|[!?。！？])["'”’)\]]*$"""
 #: Prose: a sentence ends within the line, so the line must end with one.
@@ -53,9 +54,10 @@ def _ending(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(key, line) of every non-blank line of the reference bodies, distinct within its document."""
-    lines = docs.select(doc_key("doc_id").alias("key"), F.explode(F.split("body", "\n")).alias("line"))
-    return lines.select("key", tidy(F.col("line")).alias("line")).where("line <> ''")
+    """(key, line, whole) of every non-blank line of the reference bodies, tidy, with the print of the line."""
+    one_space = F.regexp_replace("body", r"[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+| {2,}", " ")
+    lines = docs.select(doc_key("doc_id").alias("key"), F.explode(F.split(one_space, "\n")).alias("line"))
+    return lines.select("key", F.trim(F.regexp_replace("line", " {2,}", " ")).alias("line")).where("line <> ''").select("key", "line", _print(F.col("line"), "whole"))
 
 
 def truncated(chunks: DataFrame, raw: DataFrame) -> DataFrame:
@@ -64,20 +66,21 @@ def truncated(chunks: DataFrame, raw: DataFrame) -> DataFrame:
     ``chunks`` needs chunk_id, doc_id and text, ``raw`` doc_id and body; other columns are not read. Null and blank
     texts are never truncated. Equal chunks of one id are one; without ``raw`` only endings decide.
     """
-    rows = chunks.select("chunk_id", doc_key("doc_id").alias("key"), F.rtrim(F.regexp_replace("text", SPACE_CLASS + "+$", "")).alias("text")).where("text <> ''")
-    tail = tidy(F.element_at(F.split("text", "\n"), -1))
-    marked = rows.select("chunk_id", F.coalesce("key", F.lit("")).alias("key"), tail.alias("shown"), F.regexp_replace(tail, OMISSION, "").alias("line"))
-    cand = marked.select("*", (F.col("line") != F.col("shown")).alias("marked"), _print(F.col("shown"), "whole"))
+    rows = chunks.select("chunk_id", doc_key("doc_id").alias("key"), F.rtrim("text", F.lit(SPACES)).alias("text")).where("text <> ''")
+    tail = tidy(F.substring_index("text", "\n", -1))
+    marked = rows.select("chunk_id", F.coalesce("key", F.lit("")).alias("key"), tail.alias("shown")).withColumn("line", F.rtrim(F.regexp_replace("shown", OMISSION, "")))
+    # last lines and reference lines are read several times below, so each is made once
+    cand = cut(marked.select("chunk_id", "key", "line", (F.col("line") != F.col("shown")).alias("marked"), _print(F.col("shown"), "whole")), "last-lines")
 
-    lines = _lines(raw)
+    lines = cut(_lines(raw), "lines")
     # 1: whole lines of the own document, by prints; hot documents' lines are distinct, so the key's group stays small
-    known = lines.select(F.coalesce("key", F.lit("")).alias("key"), _print(F.col("line"), "whole")).distinct()
+    known = lines.select(F.coalesce("key", F.lit("")).alias("key"), "whole").distinct()
     open1 = cand.join(known, ["key", "whole"], "left_anti")
 
     # 2: strict prefixes of lines of the own document; only documents that still have open chunks send lines
     # ended sentences are cut only where a longer own line shows it
     wanted = open1.where("key <> ''").select("key").distinct()
-    longer = lines.where("key is not null").join(wanted, "key", "left_semi").distinct()
+    longer = lines.where("key is not null").select("key", "line").join(wanted, "key", "left_semi").distinct()
     sizes = F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length("line"))
     probes = open1.where("line <> '' and key <> ''").select("chunk_id", "key", "line", F.array_max(sizes).alias("n"))
     probes = probes.select("*", F.xxhash64("n", F.substring(F.col("line"), F.lit(1), F.col("n"))).alias("p"))
@@ -89,7 +92,7 @@ def truncated(chunks: DataFrame, raw: DataFrame) -> DataFrame:
     rest = open1.join(own_cut, "chunk_id", "left_anti")
     unended = rest.where(F.col("marked") | (F.col("line") == "") | ~F.col("line").rlike(SENTENCE_END))
     asked = unended.where("not marked").select("whole").distinct()
-    anywhere = lines.select(_print(F.col("line"), "whole")).join(asked, "whole", "left_semi").distinct()
+    anywhere = lines.select("whole").join(asked, "whole", "left_semi").distinct()
     left = unended.join(anywhere, "whole", "left_anti")
     # a table row is whole with its closing bar, prose never without a full stop; one after a digit is left to the endings
     row, prose = F.col("line").startswith("|"), F.col("line").rlike(PROSE) & ~F.col("line").rlike("[0-9][.]$")
