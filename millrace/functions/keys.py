@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: White space of every kind, as a character class that Java, RE2 and (after ``python_class``) Python read alike.
 SPACE_CLASS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: The same characters, one by one.
-SPACES = "\t\n\x0b\f\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def doc_key(c: Column | str) -> Column:

@@ -21,7 +21,7 @@ from millrace.session import cut
 #: Delimiters in use, as patterns; white space alone is the weakest.
 DELIMITERS = {
     "semicolon": "[;；]", "comma": "[,，、]", "bar": r"[|｜]", "slash": "[/／]", "dot": "[·•]", "plus": r"\+", "amp": "&", "and": r"(?<=\s)(?:and|or|및|또는)(?=\s)",
-    "break": r"(?:<br\s*/?>|\\r\\n|\\n|\r\n|\r|\n)", "tab": r"(?:\t|\\t)", "space": r"[   - 　]",
+    "break": r"(?:<br\s*/?>|\\r\\n|\\n|\r\n|\r|\n)", "tab": r"(?:\t|\\t)", "space": r"[ \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]",
 }
 #: What stands for no value.
 NONE_WORDS = {"", "-", "--", "–", "—", "n/a", "na", "none", "null", "nil", "nan", "없음", "해당 없음", "해당없음", "미상"}
