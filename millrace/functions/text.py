@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.tokens import let
 from millrace.sources.registry import SOURCES
 
 #: What begins the quoted original of an email, its signatures and notices.
@@ -42,13 +43,13 @@ def count_tokens(c: Column | str) -> Column:
 def remove_repeated_lines(c: Column | str, least: int = REPEATED_LEAST, longest: int = REPEATED_LONGEST) -> Column:
     """Every occurrence of a short line that stands ``least`` times or more is taken out.
 
-    The counts come from one fold over the sorted lines: a line is repeated when an equal one stands ``least - 1``
+    Lines are sorted once: a line is repeated when an equal one stands ``least - 1``
     places further on, so no line is compared with all others.
     """
-    all_lines = lines(c)
-    trimmed = F.array_sort(F.filter(F.transform(all_lines, strip), lambda x: (x != "") & (F.length(x) <= longest)))
-    repeated = F.array_distinct(F.filter(trimmed, lambda x, i: (i + least - 1 < F.size(trimmed)) & (F.get(trimmed, i + least - 1) == x)))
-    return F.array_join(F.filter(all_lines, lambda x: ~F.array_contains(repeated, strip(x))), "\n")
+    trimmed = lambda ls: F.array_sort(F.filter(F.transform(ls, strip), lambda x: (x != "") & (F.length(x) <= longest)))
+    repeated = lambda t: F.array_distinct(F.filter(t, lambda x, i: (i + least - 1 < F.size(t)) & (F.get(t, i + least - 1) == x)))
+    without = lambda ls, gone: F.array_join(F.filter(ls, lambda x: ~F.array_contains(gone, strip(x))), "\n")
+    return let(lines(c), lambda ls: let(let(trimmed(ls), repeated), lambda gone: without(ls, gone)))
 
 
 def clean_email(c: Column | str) -> Column:
@@ -57,7 +58,7 @@ def clean_email(c: Column | str) -> Column:
     cut = "|".join(f"(?:{p})" for p in EMAIL_CUT)
     marked = F.transform(all_lines, lambda x: strip(x).rlike(cut))
     at = F.array_position(marked, True).cast("int")
-    head = F.when(at > 0, F.slice(all_lines, 1, F.greatest(at - 1, F.lit(0)))).otherwise(all_lines)
+    head = let(at, lambda n: F.when(n > 0, F.slice(all_lines, 1, F.greatest(n - 1, F.lit(0)))).otherwise(all_lines))
     drop = "^(?:" + "|".join(f"(?:{p})" for p in EMAIL_SIGNATURE + EMAIL_NOTICE) + ")"
     return strip(F.array_join(F.filter(head, lambda x: ~F.ltrim(x).startswith(">") & ~strip(x).rlike(drop)), "\n"))
 
@@ -65,17 +66,20 @@ def clean_email(c: Column | str) -> Column:
 def clean(c: Column | str, doc_type: Column | str) -> Column:
     """The cleaning of a document's type: email, repeated lines, noise patterns, then white space. Unknown types get the last only."""
     kind = F.col(doc_type) if isinstance(doc_type, str) else doc_type
-    text = _c(c)
-    for code, source in SOURCES.items():
-        own = text
-        if source.strip_email:
-            own = clean_email(own)
-        if source.strip_repeat:
-            own = remove_repeated_lines(own)
-        for pattern in source.noise:
-            own = F.regexp_replace(own, f"(?m){pattern}", "")
-        if own is not text:
-            text = F.when(kind == code, own).otherwise(text)
+    of = lambda flag: [code for code, s in SOURCES.items() if getattr(s, flag)]
+    email = let(_c(c), lambda t: F.when(kind.isin(*of("strip_email")), clean_email(t)).otherwise(t))
+    single = let(email, lambda t: F.when(kind.isin(*of("strip_repeat")), remove_repeated_lines(t)).otherwise(t))
+
+    def without_noise(t: Column) -> Column:
+        out = None
+        for code, source in SOURCES.items():
+            own = t
+            for pattern in source.noise:
+                own = F.regexp_replace(own, f"(?md){pattern}", "")
+            out = F.when(kind == code, own) if out is None else out.when(kind == code, own)
+        return out.otherwise(t)
+
+    text = let(single, without_noise)
     return strip(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
@@ -86,7 +90,7 @@ def noise_left(c: Column | str, doc_type: Column | str) -> Column:
     for code, source in SOURCES.items():
         patterns = [*source.noise, *(EMAIL_CUT + EMAIL_NOTICE if source.strip_email else [])]
         if patterns:
-            found = found | ((kind == code) & _c(c).rlike("(?m)" + "|".join(f"(?:{p})" for p in patterns)))
+            found = found | ((kind == code) & _c(c).rlike("(?md)" + "|".join(f"(?:{p})" for p in patterns)))
     return F.coalesce(found, F.lit(False))
 
 

@@ -20,6 +20,11 @@ PARTICLES = (
 ELEMENT_STOP_WORDS = ["또는", "제시", "표기", "수치", "내용"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once per row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _c(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -43,7 +48,8 @@ def keywords(c: Column | str) -> Column:
 def grams(text: Column, n: int) -> Column:
     """Distinct substrings of ``n`` characters; none for a shorter text."""
     empty = F.array().cast("array<string>")
-    return F.when(F.length(text) < n, empty).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))))
+    pieces = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+    return let(text, lambda t: F.when(F.length(t) < n, empty).otherwise(F.array_distinct(pieces(t))))
 
 
 def char_grams(c: Column | str, n: int = 3) -> Column:
@@ -54,12 +60,12 @@ def char_grams(c: Column | str, n: int = 3) -> Column:
 def shingles(c: Column | str, n: int = 5) -> Column:
     """Distinct n-grams of a text with white space as one space; a shorter text is its own single shingle."""
     text = F.regexp_replace(_c(c), r"\s+", " ")
-    return F.when(F.length(text) < n, F.array(text)).otherwise(grams(text, n))
+    return let(text, lambda t: F.when(F.length(t) < n, F.array(t)).otherwise(grams(t, n)))
 
 
 def share_in(a: Column, b: Column, empty: float) -> Column:
     """Share of the array ``a`` that is in ``b``; ``empty`` where ``a`` has nothing."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(empty))
+    return let(a, lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, b)) / F.size(x)).otherwise(F.lit(empty)))
 
 
 def coverage(a: Column | str, b: Column | str, empty: float = 0.0, n: int = 3) -> Column:
@@ -79,12 +85,12 @@ def stem_overlap(query: Column | str, text: Column | str) -> Column:
 def element_hit(element: Column | str, answer: Column | str) -> Column:
     """Share of an element's keywords, repetitions kept, that occur anywhere in the answer."""
     found = F.filter(F.regexp_extract_all(_c(element), F.lit(KEYWORD), F.lit(0)), lambda w: ~w.isin(*ELEMENT_STOP_WORDS))
-    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda w: F.contains(_c(answer), w))) / F.size(found)).otherwise(F.lit(0.0))
+    return let(found, lambda f: F.when(F.size(f) > 0, F.size(F.filter(f, lambda w: F.contains(_c(answer), w))) / F.size(f)).otherwise(F.lit(0.0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+    return let(union, lambda u: F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(F.lit(0.0)))
 
 
 def _morphemes(c: Column | str) -> Column:

@@ -167,7 +167,7 @@ def storage_form(typed: DataFrame) -> DataFrame:
     per = lambda cond: F.round(F.avg(cond.cast("double")) * 100, 6)
     return typed.groupBy("doc_type").agg(
         F.count(F.lit(1)).alias("n_docs"), F.round(F.percentile(F.length(body), F.lit(0.5)), 6).alias("median_length"), per(T.strip(body) == "").alias("empty_pct"), per(body.rlike("<[a-zA-Z/][^>]*>")).alias("html_pct"),
-        per(body.rlike(r"(?m)^\s*\|.*\|")).alias("table_pct"), per(F.regexp_count(body, F.lit("\n")) >= 3).alias("lines_pct"),
+        per(body.rlike(r"(?md)^\s*\|.*\|")).alias("table_pct"), per(F.regexp_count(body, F.lit("\n")) >= 3).alias("lines_pct"),
     )
 
 

@@ -42,11 +42,13 @@ def fixed_chunks(docs: DataFrame, size: int = 120, id_col: str = "doc_id", text_
     n = F.length(text_col)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size)))
     pieces = docs.where(n > 0).select(id_col, text_col, F.posexplode(starts).alias("seq", "at"))
-    return pieces.select(F.concat(F.col(id_col).cast("string"), F.lit("_"), F.lpad(F.col("seq").cast("string"), 3, "0")).alias("chunk_id"), id_col, "seq", F.substring(F.col(text_col), F.col("at") + 1, F.lit(size)).alias("text"))
+    number = F.format_string("%03d", "seq")
+    return pieces.select(F.concat(F.col(id_col).cast("string"), F.lit("_"), number).alias("chunk_id"), id_col, "seq", F.substring(F.col(text_col), F.col("at") + 1, F.lit(size)).alias("text"))
 
 
 def rechunk_comparison(typed: DataFrame, chunks: DataFrame, types: DataFrame) -> DataFrame:
     """(doc_type, n_now, median_now, n_rule, median_rule): stored chunks against those that the rule of the type would make."""
     now = chunks.join(types, "doc_id", "left").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_now"), F.round(F.percentile(F.length("text"), F.lit(0.5)), 6).alias("median_now"))
     rule = chunk_documents(typed).groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_rule"), F.round(F.percentile(F.length("text"), F.lit(0.5)), 6).alias("median_rule"))
-    return now.join(rule, "doc_type", "full")
+    met = now.withColumn("k", F.coalesce("doc_type", F.lit(""))).drop("doc_type").join(rule.withColumn("k", F.coalesce("doc_type", F.lit(""))).drop("doc_type"), "k", "full")
+    return met.select(F.nullif("k", F.lit("")).alias("doc_type"), "n_now", "median_now", "n_rule", "median_rule")

@@ -88,7 +88,7 @@ def screen(evals: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
 
 def gold_ids(c: str) -> Column:
     """Ids of a semicolon list, blanks left out."""
-    return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def uniqueness(hits: DataFrame, n: int = 5) -> DataFrame:

@@ -57,7 +57,7 @@ def route(question: str = "question") -> Column:
 def subqueries(question: str = "question") -> Column:
     """The question and up to two of its parts of more than five characters; simple questions stay whole."""
     q = F.coalesce(F.col(question), F.lit(""))
-    parts = F.filter(F.transform(F.split(q, CONJUNCTION), F.trim), lambda p: F.length(p) > 5)
+    parts = F.filter(F.transform(F.split(q, CONJUNCTION), lambda x: F.trim(x)), lambda p: F.length(p) > 5)
     return F.when((q.rlike(COMPARING) | q.rlike(MANIFOLD)) & (F.size(parts) > 1), F.concat(F.array(q), F.slice(parts, 1, 2))).otherwise(F.array(q))
 
 

@@ -89,9 +89,8 @@ def citations(answer: Column | str) -> Column:
 
 def citation_accuracy(answer: str, n_contexts: Column) -> Column:
     """Share of cited numbers that name a context, DB always does; null without citations."""
-    found = citations(answer)
-    ok = F.filter(found, lambda c: (c == "DB") | F.coalesce(F.expr("try_cast(null as int)").isNotNull() | c.try_cast("int").between(F.lit(1), n_contexts), F.lit(False)))
-    return F.when(F.size(found) > 0, F.round(F.size(ok) / F.size(found), 6))
+    names_one = lambda c: (c == "DB") | F.coalesce(c.try_cast("int").between(F.lit(1), n_contexts), F.lit(False))
+    return K.let(citations(answer), lambda found: F.when(F.size(found) > 0, F.round(F.size(F.filter(found, names_one)) / F.size(found), 6)))
 
 
 def structure(answer: str) -> list[Column]:
