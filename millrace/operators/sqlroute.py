@@ -165,8 +165,7 @@ def validate(spark: SparkSession, sql: str, catalog: Catalog) -> Verdict:
     """Static check on the parsed plan: one statement, read-only nodes, allowed tables and columns.
 
     Tables are found wherever they stand (comma joins, subqueries, common table expressions); names inside string
-    literals are no matter. Columns are checked against the analysed plan of allowed views only, so a column outside
-    the list cannot be reached.
+    literals are no matter. Columns are checked by analysing the query where only allowed columns exist.
     """
     if not (sql or "").strip():
         return Verdict(False, ["no SQL"], set())
@@ -213,27 +212,35 @@ def validate(spark: SparkSession, sql: str, catalog: Catalog) -> Verdict:
     return Verdict(not problems, problems, tables - names)
 
 
-def _columns(spark: SparkSession, sql: str, allow: dict[str, set[str] | None]) -> list[str]:
-    """Analyses the query in a child session that sees only the allowed columns of the allowed tables."""
-    guarded = spark.newSession()
+def _guarded(spark: SparkSession, allow: dict[str, set[str] | None]) -> SparkSession:
+    """A session of its own that sees the allowed columns of the allowed tables and no other view."""
+    session = spark.newSession()
+    rows_of = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
     for name, columns in allow.items():
         df = spark.table(name)
-        kept = df.columns if columns is None else [c for c in df.columns if c.lower() in columns]
-        empty = guarded.createDataFrame([], df.select(*kept).schema)
-        empty.createOrReplaceTempView(name.split(".")[-1])
+        kept = df.select(*(c for c in df.columns if columns is None or c.lower() in columns))
+        rows_of(session._jsparkSession, kept._jdf.logicalPlan()).createOrReplaceTempView(name.split(".")[-1])
+    return session
+
+
+def _columns(spark: SparkSession, sql: str, allow: dict[str, set[str] | None]) -> list[str]:
     try:
-        guarded.sql(sql.rstrip().rstrip(";")).schema
+        _guarded(spark, allow).sql(sql.rstrip().rstrip(";")).schema
     except Exception as error:
         return [f"columns not allowed or unknown: {str(error).splitlines()[0][:160]}"]
     return []
 
 
 def run_sql(spark: SparkSession, sql: str, catalog: Catalog, limit: int = MAX_ROWS) -> DataFrame:
-    """The result of a query that the guard lets pass, at most ``limit`` rows; else an error that names the problems."""
+    """The result of a query that the guard lets pass, at most ``limit`` rows; else an error that names the problems.
+
+    It runs in the guarded session, so a star too reaches the allowed columns only.
+    """
     verdict = validate(spark, sql, catalog)
     if not verdict.ok:
         raise PermissionError("; ".join(verdict.problems))
-    return spark.sql(sql.rstrip().rstrip(";")).limit(limit)
+    allow = catalog.allow_map()
+    return _guarded(spark, {t: allow[t] for t in verdict.tables if t in allow}).sql(sql.rstrip().rstrip(";")).limit(limit)
 
 
 def explain(spark: SparkSession, sql: str) -> tuple[bool, str]:
