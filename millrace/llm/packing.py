@@ -2,8 +2,9 @@
 
 Items are spread over partitions of bounded size. Each partition is packed by best-fit decreasing and compares its bin
 count with the lower bound that dual-feasible functions give for its own items: where they are equal the partition is
-certified and final. Partitions with a gap keep their full containers, give the rest back, and the documents given back
-by all of them are exchanged over new partitions and packed again. A round counts only if it saves containers.
+certified. Partitions with a gap keep their full containers, give the rest back, and the documents given back by all of
+them are exchanged over new partitions and packed again. When that saves nothing more, certified partitions give back
+too, as long as the bound over all items says that containers may still be saved. A round counts only if it saves some.
 """
 
 from __future__ import annotations
@@ -119,18 +120,37 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     final = [whole.select(columns)]
     n = rest.count()
     placed = cut(_pack_once(rest, n, 0, capacity, partition_items), "pack-0") if n else None
+    bound = _remainder_bound(items, capacity) if n else 0
+    used = n_final = 0
+    everyone = False  # whether certified partitions take part too
+    if placed is not None:
+        used = _containers(placed)
     for round_no in range(1, rounds + 1):
-        if placed is None:
+        if placed is None or used + n_final <= bound:
             break
-        loose = placed.where(~F.col("certified") & (F.col("fill") < capacity))
+        part = F.col("fill") < capacity if everyone else ~F.col("certified") & (F.col("fill") < capacity)
+        loose = placed.where(part)
         n_loose = loose.count()
         if not n_loose:
-            break
+            if everyone:
+                break
+            everyone = True
+            loose = placed.where(F.col("fill") < capacity)
+            n_loose = loose.count()
+            if not n_loose:
+                break
+            part = F.col("fill") < capacity
         again = cut(_pack_once(loose, n_loose, round_no, capacity, partition_items), f"pack-{round_no}")
-        if _containers(again) >= _containers(loose):
-            break  # the exchange saved nothing, so the former containers stand
-        final.append(placed.where(F.col("certified") | (F.col("fill") >= capacity)).select(columns))
-        placed = again
+        before, after = _containers(loose), _containers(again)
+        if after >= before:
+            if everyone:
+                break  # the exchange saved nothing, so the former containers stand
+            everyone = True
+            continue
+        kept = placed.where(~part)
+        final.append(kept.select(columns))
+        n_final += used - before
+        placed, used = again, after
     if placed is not None:
         final.append(placed.select(columns))
     out = final[0]
@@ -139,6 +159,14 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     return out.select(F.col("item_id").alias(id_col), "piece", F.col("size").alias(size_col), "container")
 
 
+def _remainder_bound(items: DataFrame, capacity: int) -> int:
+    """The bound for the remainders of all items at once, from their counts by size: at most ``capacity`` rows."""
+    count = np.zeros(capacity + 1, np.int64)
+    for size, n in items.select((F.col("size") % capacity).cast("int").alias("size")).where("size > 0").groupBy("size").count().collect():
+        count[size] = n
+    return histogram_bound(count, capacity)
+
+
 def certificate(sizes: DataFrame, packed: DataFrame, size_col: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
     """One row: items, containers, the lower bound over all items at once, and the share of the space that is used.
 
@@ -148,10 +176,7 @@ def certificate(sizes: DataFrame, packed: DataFrame, size_col: str = "n_tokens",
     spark = sizes.sparkSession
     positive = sizes.where(F.col(size_col) > 0)
     head = positive.agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col(size_col) / capacity)).alias("full"), F.sum(F.col(size_col).cast("long")).alias("total")).first()
-    count = np.zeros(capacity + 1, np.int64)
-    for size, n in positive.select((F.col(size_col) % capacity).cast("int").alias("size")).where("size > 0").groupBy("size").count().collect():
-        count[size] = n
-    bound = int(head.full or 0) + histogram_bound(count, capacity)
+    bound = int(head.full or 0) + _remainder_bound(positive.select(F.col(size_col).alias("size")), capacity)
     used = _containers(packed)
     row = (int(head.n), used, bound, float(round((head.total or 0) / (used * capacity), 6)) if used else 0.0)
     return spark.createDataFrame([row], "n_items bigint, n_containers bigint, lower_bound bigint, fill double")
