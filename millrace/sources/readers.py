@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -65,6 +67,12 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, **opti
         pdf = pd.read_excel(path, **options).dropna(how="all")
         return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None))
     encoding = options.pop("encoding", None) or _encoding(spark, path)
+    if encoding.lower() not in ("utf-8", "utf-16", "us-ascii", "iso-8859-1"):
+        # spreadsheet exports in other encodings are small files; the engine's reader has only the encodings above
+        import pandas as pd
+
+        found = [pd.read_csv(io.BytesIO(bytes(r.content)), encoding=encoding, dtype=str, keep_default_na=False, sep=options.get("sep", ",")) for r in spark.read.format("binaryFile").load(path).select("content").toLocalIterator()]
+        return spark.createDataFrame(pd.concat(found, ignore_index=True), schema) if schema else spark.createDataFrame(pd.concat(found, ignore_index=True))
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).options(**options)
     df = reader.csv(path, schema=schema) if schema else reader.csv(path)
     first = df.columns[0]
@@ -80,7 +88,7 @@ def _encoding(spark: SparkSession, path: str) -> str:
             return "UTF-8"
         except UnicodeDecodeError:
             continue
-    return "x-windows-949"
+    return "cp949"
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None) -> DataFrame:
