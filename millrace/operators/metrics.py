@@ -52,7 +52,12 @@ def retrieval_metrics(judged: DataFrame, golden: DataFrame, by: list[str] | None
     per = judged.groupBy("qid", *by).agg(*aggs)
     base = golden.where(F.size(gold_ids("gold_doc_ids")) > 0).select("qid", F.size(F.array_distinct(gold_ids("gold_doc_ids"))).alias("__n"))
     if by:
-        base = base.join(judged.select(*by).distinct().groupBy().agg(F.collect_set(F.struct(*by)).alias("__by")).select(F.explode("__by").alias("b")).select("b.*").withColumn("__one", F.lit(1)), F.lit(1) == F.col("__one")).drop("__one")
+        # the runs that were judged, a handful of names, so that a question without hits counts in each
+        names = [F.struct(*(F.lit(v).alias(c) for c, v in zip(by, r, strict=True))) for r in judged.select(*by).distinct().collect()]
+        if names:
+            base = base.select("*", F.explode(F.array(*names)).alias("b")).select("qid", "__n", "b.*")
+        else:
+            base = base.select("*", *(F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in by)).limit(0)
     met = base.join(per, ["qid", *by], "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.col("__n"), F.lit(1)))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
