@@ -40,10 +40,6 @@ def tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
-def _print(c: Column, name: str) -> Column:
-    return F.xxhash64(c).alias(name)
-
-
 def _ending(line: Column) -> Column:
     """How a line ends: its last word, or its last two if it is long or ends in a number; digit runs as 9, mail boxes off."""
     words = F.split(line, " ")
@@ -54,10 +50,10 @@ def _ending(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(key, line, whole) of every non-blank line of the reference bodies, tidy, with the print of the line."""
+    """(key, line) of every non-blank line of the reference bodies, tidy."""
     one_space = F.regexp_replace("body", r"[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+| {2,}", " ")
     lines = docs.select(doc_key("doc_id").alias("key"), F.explode(F.split(one_space, "\n")).alias("line"))
-    return lines.select("key", F.trim(F.regexp_replace("line", " {2,}", " ")).alias("line")).where("line <> ''").select("key", "line", _print(F.col("line"), "whole"))
+    return lines.select("key", F.trim(F.regexp_replace("line", " {2,}", " ")).alias("line")).where("line <> ''")
 
 
 def truncated(chunks: DataFrame, raw: DataFrame) -> DataFrame:
@@ -69,13 +65,13 @@ def truncated(chunks: DataFrame, raw: DataFrame) -> DataFrame:
     rows = chunks.select("chunk_id", doc_key("doc_id").alias("key"), F.rtrim("text", F.lit(SPACES)).alias("text")).where("text <> ''")
     tail = tidy(F.substring_index("text", "\n", -1))
     marked = rows.select("chunk_id", F.coalesce("key", F.lit("")).alias("key"), tail.alias("shown")).withColumn("line", F.rtrim(F.regexp_replace("shown", OMISSION, "")))
-    # last lines and reference lines are read several times below, so each is made once
-    cand = cut(marked.select("chunk_id", "key", "line", (F.col("line") != F.col("shown")).alias("marked"), _print(F.col("shown"), "whole")), "last-lines")
+    cand = marked.select("chunk_id", "key", "line", "shown", (F.col("line") != F.col("shown")).alias("marked"))
 
+    # reference lines, and the chunks that stay open after step 1, are read several times, so each is made once
     lines = cut(_lines(raw), "lines")
-    # 1: whole lines of the own document, by prints; hot documents' lines are distinct, so the key's group stays small
-    known = lines.select(F.coalesce("key", F.lit("")).alias("key"), "whole").distinct()
-    open1 = cand.join(known, ["key", "whole"], "left_anti")
+    # 1: whole lines of the own document, by one print of key and line, which spreads a hot document's lines
+    known = lines.select(F.xxhash64(F.coalesce("key", F.lit("")), "line").alias("own")).distinct()
+    open1 = cut(cand.withColumn("own", F.xxhash64("key", "shown")).join(known, "own", "left_anti").drop("own"), "open-lines").withColumn("whole", F.xxhash64("shown"))
 
     # 2: strict prefixes of lines of the own document; only documents that still have open chunks send lines
     # ended sentences are cut only where a longer own line shows it
@@ -86,14 +82,14 @@ def truncated(chunks: DataFrame, raw: DataFrame) -> DataFrame:
     probes = probes.select("*", F.xxhash64("n", F.substring(F.col("line"), F.lit(1), F.col("n"))).alias("p"))
     stored = longer.select("key", F.col("line").alias("long"), F.explode(F.transform(sizes, lambda n: F.xxhash64(n, F.substring(F.col("line"), F.lit(1), n)))).alias("p"))
     met = probes.join(stored, ["key", "p"]).where("length(long) > length(line) and startswith(long, line)")
-    own_cut = met.select("chunk_id").distinct()
+    own_cut = cut(met.select("chunk_id").distinct(), "own-cut")
 
     # 3: what is left, against the corpus
     rest = open1.join(own_cut, "chunk_id", "left_anti")
     unended = rest.where(F.col("marked") | (F.col("line") == "") | ~F.col("line").rlike(SENTENCE_END))
     asked = unended.where("not marked").select("whole").distinct()
-    anywhere = lines.select("whole").join(asked, "whole", "left_semi").distinct()
-    left = unended.join(anywhere, "whole", "left_anti")
+    anywhere = lines.select(F.xxhash64("line").alias("whole")).join(asked, "whole", "left_semi").distinct()
+    left = cut(unended.join(anywhere, "whole", "left_anti").select("chunk_id", "line", "marked"), "unsettled")
     # a table row is whole with its closing bar, prose never without a full stop; one after a digit is left to the endings
     row, prose = F.col("line").startswith("|"), F.col("line").rlike(PROSE) & ~F.col("line").rlike("[0-9][.]$")
     sure = left.where(F.col("marked") | prose | (row & ~F.col("line").endswith("|")))
