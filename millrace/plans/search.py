@@ -400,7 +400,7 @@ n AS (SELECT *, row_number() OVER (ORDER BY o, doc_id) AS i FROM p) SELECT 'K' |
     "evidence_link": f"""WITH {_JUDGED}, {_DT} SELECT gq.qid, CASE WHEN coalesce(rank, 1) = 1 THEN question ELSE '' END AS question, CASE WHEN coalesce(rank, 1) = 1 THEN q_type ELSE '' END AS q_type, coalesce(rank, 0) AS cand_rank, coalesce(h.doc_id, '') AS cand_doc_id, coalesce(dt.doc_type, '') AS cand_doc_type, '' AS cand_date, coalesce(substr(text, 1, 300), '(검색 결과 없음)') AS cand_text, round(score, 4) AS score
 FROM gq LEFT JOIN (SELECT * FROM ju WHERE rank <= 5) h USING (qid) LEFT JOIN dt ON dt.doc_id = h.doc_id""",
     "evidence_golden": f"WITH {_JUDGED} SELECT qid, string_agg(DISTINCT doc_id, ';' ORDER BY doc_id) AS gold_doc_ids, arg_min(substr(text, 1, 60), rank) AS gold_text FROM ju WHERE rank <= 5 AND rel = 1 GROUP BY 1",
-    "evidence_coverage": f"WITH {_JUDGED}, st AS (SELECT qid, CASE WHEN max(rel) = 1 THEN 'f' WHEN max(CAST(rel = 0 AND rank > 1 AS INT)) = 1 THEN 'n' ELSE 'h' END AS s FROM ju WHERE rank <= 5 GROUP BY 1) SELECT count(*) AS n_questions, count(*) FILTER (s = 'f') AS n_found, count(*) FILTER (s = 'n') AS n_no_document, count(*) FILTER (s = 'h') AS n_hold, round(count(*) FILTER (s = 'f') / count(*), 3) AS found_rate FROM st",
+    "evidence_coverage": f"WITH {_JUDGED}, st AS (SELECT qid, CASE WHEN max(rel) = 1 THEN 'f' WHEN max(CAST(rel = 0 AND rank > 1 AS INT)) = 1 THEN 'n' ELSE 'h' END AS s FROM ju WHERE rank <= 5 GROUP BY 1) SELECT count(*) AS n_questions, count(*) FILTER (s = 'f') AS n_found, count(*) FILTER (s = 'n') AS n_no_document, count(*) FILTER (s = 'h') AS n_hold, round(coalesce(count(*) FILTER (s = 'f') / nullif(count(*), 0), 0.0), 3) AS found_rate FROM st",
     "sampled_chunks": f"WITH {_G}, {_DT} SELECT doc_type, chunk_id, has_num FROM (SELECT dt.doc_type, chunk_id, regexp_matches(text, '{_NUM}') AS has_num FROM dc LEFT JOIN dt USING (doc_id) WHERE length(text) >= 150) QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY has_num DESC, chunk_id) <= 10",
     "mix_report": "WITH t(q_type, part) AS (VALUES ('사실', 0.30), ('수치', 0.25), ('종합', 0.15), ('기간', 0.10), ('비교', 0.10), ('답없음', 0.10)), n AS (SELECT count(*) AS n FROM golden_sample100), c AS (SELECT q_type, count(*) AS actual FROM golden_sample100 GROUP BY 1) SELECT q_type, round(CAST(part AS DOUBLE) * n, 6) AS wanted, coalesce(actual, 0) AS actual, round(coalesce(actual, 0) / n, 6) AS share, CASE WHEN coalesce(actual, 0) < part * n * 0.6 THEN '부족' WHEN coalesce(actual, 0) > part * n * 1.5 THEN '과다' ELSE '적정' END AS verdict FROM t LEFT JOIN c USING (q_type), n",
     "smoke_template": f"WITH {_JUDGED} SELECT qid, q_type, CASE WHEN rank = 1 THEN question ELSE '' END AS question, rank, doc_id, substr(text, 1, 300) AS text, '' AS answer, CASE WHEN rank = 1 THEN '' END AS search_verdict, CASE WHEN rank = 1 THEN '' END AS answer_verdict, CASE WHEN rank = 1 THEN '' END AS failure FROM ju JOIN gq USING (qid)",
