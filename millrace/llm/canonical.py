@@ -33,6 +33,8 @@ LOOK_ALIKES = {
 JOINS = [*range(0xFB00, 0xFB07), 0x132, 0x133, 0x1C7, 0x1C8, 0x1C9, 0x1CA, 0x1CB, 0x1CC, 0x1F1, 0x1F2, 0x1F3]
 #: Signs that leave no mark though their category is not Cf: grapheme joiner, jamo fillers, Khmer vowels, variation selectors.
 NO_MARK = [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
+#: Bytes of text folded at once; the arrays of a slice take some sixty times as much.
+SLICE_BYTES = 1 << 20
 LINE_BREAKS = [0x0B, 0x0C, 0x85, 0x2028, 0x2029]
 BLANK_SIGNS = [0x09, 0x2800]
 _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00
@@ -167,10 +169,21 @@ def fold(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fold_array(texts: pa.Array) -> pa.Array:
-    """The common form of every string of an Arrow array; nulls stay null."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
+    """The common form of every string of an Arrow array, nulls as empty strings; rows are taken in slices of bounded size."""
     texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    if not n:
+        return pa.array([], pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    parts, i = [], 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
+        parts.append(_fold_slice(texts.slice(i, j - i)))
+        i = j
+    return pa.concat_arrays(parts)
+
+
+def _fold_slice(texts: pa.LargeStringArray) -> pa.LargeStringArray:
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if n else np.zeros(0, np.uint8)
