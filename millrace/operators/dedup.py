@@ -80,11 +80,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int = PERMUTATION
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", threshold: float = SIMILARITY, bands: int = BANDS, n: int = PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
     """Near duplicates as (links, members).
 
-    links (id_a, id_b, similarity): pairs of class representatives whose share of equal signature slots reaches
-    ``threshold``. members (id, class_id): one row per document, its class being the least id that links reach.
+    links (id_a, id_b, similarity): every pair of different texts, each under the least id of its exact copies, whose
+    share of equal signature slots reaches ``threshold``. members (id, class_id): one row per document, its class being
+    the least id that links reach.
 
-    Exact copies are collapsed first and texts of one signature next, so copies are one head however many there are;
-    heads with different signatures that share a band are compared, each pair once. Ids are cast to strings.
+    Exact copies are collapsed first. Of the texts of one signature a head is compared in the bands, each pair of heads
+    once; its links then hold for every text of its signature, and those texts are linked to each other at 1.0. Ids are
+    cast to strings.
     """
     ids = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     hashed = ids.withColumn("h", F.sha2(strip(F.coalesce("text", F.lit(""))), 256))
@@ -102,9 +104,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body"
     right = keyed.select("band", "bucket", F.col("head").alias("id_b"), F.col("sig").alias("sig_b"))
     met = left.join(right, ["band", "bucket"]).where("id_a < id_b")
     alike = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e)) / F.lit(float(n))
-    links = cut(met.withColumn("similarity", alike).where(F.col("similarity") >= threshold).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity")), "links")
-    components = connected(links.select("id_a", "id_b"))
-    to_head = by_sig.select("id", "s").join(heads.select("s", "head"), "s").select("id", "head")
+    head_links = cut(met.withColumn("similarity", alike).where(F.col("similarity") >= threshold).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity")), "links")
+    to_head = cut(by_sig.select("id", "s").join(heads.select("s", "head"), "s").select("id", "head"), "heads")
+    # a link of two heads is one of every two texts of their signatures
+    of_a, of_b = to_head.select(F.col("id").alias("a"), F.col("head").alias("id_a")), to_head.select(F.col("id").alias("b"), F.col("head").alias("id_b"))
+    across = head_links.join(of_a, "id_a").join(of_b, "id_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
+    several = to_head.where("id <> head").select("head").distinct()
+    alike_all = to_head.join(several, "head", "left_semi")
+    within = alike_all.select("head", F.col("id").alias("id_a")).join(alike_all.select("head", F.col("id").alias("id_b")), "head").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
+    links = across.unionByName(within)
+    components = connected(head_links.select("id_a", "id_b"))
     classed = to_head.join(components.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("class_id", "head").alias("class_id"))
     members = hashed.select("id", "h").join(reps.select(F.col("id").alias("rep"), "h"), "h").join(classed.withColumnRenamed("id", "rep"), "rep").select("id", "class_id")
     return links, members

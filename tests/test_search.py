@@ -137,6 +137,21 @@ def test_near_duplicates(spark):
     assert D.near_classes(docs.where("false"))[1].count() == 0
 
 
+def test_texts_of_one_signature_are_linked(spark):
+    random.seed(9)
+    words = [f"w{random.randrange(900)}" for _ in range(300)]
+    # inner white space makes another text of the same shingles; the last text differs in a word
+    texts = [" ".join(words), "  ".join(words), "\n".join(words), " ".join([*words[:150], "changed", *words[151:]])]
+    a, b = D.seeded_coefficients()
+    signed = [D.char_signature(t, a, b) for t in texts]
+    want = {(str(i), str(j)): np.mean(signed[i] == signed[j]) for i in range(4) for j in range(i + 1, 4)}
+    assert [want[p] for p in (("0", "1"), ("0", "2"), ("1", "2"))] == [1, 1, 1] and 0.8 <= want["2", "3"] < 1
+    links, members = D.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id int, body string"))
+    found = links.collect()
+    assert len(found) == 6 and {(r.id_a, r.id_b): r.similarity for r in found} == want
+    assert {r.class_id for r in members.collect()} == {"0"}
+
+
 def test_components(spark, rows):
     chain = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("a", "b"), ("c", "b"), ("x", "x")], "id_a string, id_b string")
     got = dict(rows(D.connected(chain)))
