@@ -3,8 +3,8 @@
 Two dictionaries are formed from the corpus. Closings: lines that recur over many messages (closing formulas, notices,
 device notes), the bounded set of lines that stand in a fixed share of the messages. Ancestors: for each message, its
 lines that an earlier message of another key holds word for word. Every paragraph is then deflated with and without
-these dictionaries; one that shrinks abnormally is suspected. Suspects are verified by exact overlap with a dictionary
-or by their place in the frame of a message (quote marks, lines that introduce a quote, header blocks, signatures);
+these dictionaries, block by block; one that shrinks abnormally is suspected, and so is every one that a dictionary
+holds word for word. Suspects are verified by exact overlap with a dictionary or by their place in the frame of a message (quote marks, lines that introduce a quote, header blocks, signatures);
 everything that is not verified is new and kept.
 """
 
@@ -29,7 +29,9 @@ CLOSING_SHARE, CLOSING_LEAST = 0.001, 3
 OVERLAP_CHARS, NOTICE_CHARS = 25, 12
 #: Share of its deflated length that a paragraph must lose by the dictionaries to be suspect.
 ABNORMAL_GAIN = 0.35
-_WINDOW = 12  # log2 of the deflate window; the dictionary of one message fits in 4 KB
+_WINDOW = 12  # log2 of the deflate window
+#: A dictionary is tried in blocks, shorter than a window by what deflate keeps free of it; half of each is the next one's too, so no passage of half a block is cut.
+BLOCK = 3000
 
 #: Sentences of the usual notices, the seed of the dictionary where a corpus has few messages.
 NOTICE_SEED = (
@@ -71,7 +73,7 @@ SENTENCE = re.compile(r"(?:다|요|까|오|음|함)[.!?]$|[a-z0-9)%][.!?]$")
 NAME = re.compile(r"^[^\W\d_]{2,12}(?:[ -][^\W\d_]{2,14}){0,2}$")
 
 
-@functools.lru_cache(64)
+@functools.lru_cache(512)
 def _deflater(dictionary: bytes) -> object:
     return zlib.compressobj(6, zlib.DEFLATED, -_WINDOW, 4, zdict=dictionary) if dictionary else zlib.compressobj(6, zlib.DEFLATED, -_WINDOW, 4)
 
@@ -87,6 +89,14 @@ def gain(text: str, dictionary: bytes) -> float:
     return 1 - _deflated(data, dictionary) / max(1, _deflated(data, b""))
 
 
+def shrinks(text: str, dictionary: bytes) -> bool:
+    """Whether ``text`` shrinks abnormally by any block of ``dictionary``; blocks count from its end, where all messages agree."""
+    ends = range(len(dictionary), min(len(dictionary), BLOCK) - 1, -BLOCK // 2)
+    if any(gain(text, dictionary[max(0, end - BLOCK) : end]) >= ABNORMAL_GAIN for end in ends):
+        return True
+    return len(dictionary) > BLOCK and gain(text, dictionary[:BLOCK]) >= ABNORMAL_GAIN
+
+
 def _marks(line: str) -> tuple[int, str]:
     """Depth of quoting and the rest of the line; rows of tables are not quoted."""
     m = MARK.match(line)
@@ -189,15 +199,18 @@ def not_new(body: str, closings: frozenset[str] = frozenset(), ancestors: frozen
     lines = [x.rstrip("\r") for x in body.split("\n")]
     quoted = _quotes(lines)
     signed = _signature(lines, quoted, sender)
-    dictionary = (" ".join(sorted(ancestors))[:2000].encode() + closing_bytes)[-4000:]
+    dictionary = " ".join(sorted(ancestors)).encode() + closing_bytes
     text = [" ".join(line.split()) for line in lines]
     out = [i for i, t in enumerate(text) if t and (quoted[i] or signed[i] or DEVICE.match(t))]
     placed = set(out)
     own = [i for i, t in enumerate(text) if t and i not in placed]
-    suspect = {
-        i for i in own
-        if len(text[i]) >= NOTICE_CHARS and not GREETING.match(text[i]) and not TABLE_ROW.match(lines[i]) and gain(text[i], dictionary) >= ABNORMAL_GAIN
-    }
+    suspect = set()
+    for i in own:
+        if len(text[i]) < NOTICE_CHARS or GREETING.match(text[i]) or TABLE_ROW.match(lines[i]):
+            continue
+        # exact overlaps are looked up, whatever the dictionary holds; only other wordings need deflate
+        if text[i] in ancestors or text[i] in closings or NOTICE_WORDS.search(text[i]) and shrinks(text[i], dictionary):
+            suspect.add(i)
     # an overlap with an ancestor is verified when neighbours share it; one line alone may agree by chance
     held = [i in suspect and text[i] in ancestors for i in own]
     out += [i for at, i in enumerate(own) if held[at] and (held[at - 1 : at] == [True] or held[at + 1 : at + 2] == [True])]
@@ -231,14 +244,19 @@ def closings(lines: DataFrame, n_messages: int) -> DataFrame:
 def ancestor_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
     """(raw_no, ancestors): a message's long lines that an earlier message of another key holds.
 
-    Recurring lines are taken out first (a broadcast anti join), so no line's group is large. Of messages of one time
-    the lesser key is the earlier; those without a time come last.
+    Recurring lines, those of threads that many messages quote among them, are apart: they are few (see ``closings``),
+    so their first messages are broadcast and no line's group is shuffled whole. Of messages of one time the lesser key
+    is the earlier; those without a time come last.
     """
     long = lines.where(F.length("line") >= OVERLAP_CHARS).select("raw_no", "key", "at", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
-    long = long.join(F.broadcast(frequent.select("line")), "line", "left_anti")
     order = F.struct(F.col("at").isNull(), F.col("at"), F.col("key"))
-    first = long.groupBy("h", "h2").agg(F.min_by("key", order).alias("first"), F.max("key").alias("a"), F.min("key").alias("b")).where("a <> b").select("h", "h2", "first")
-    met = long.join(first, ["h", "h2"]).where("key <> first")
+    hot = F.broadcast(frequent.select("line"))
+
+    def later(part: DataFrame, small: bool) -> DataFrame:
+        first = part.groupBy("h", "h2").agg(F.min_by("key", order).alias("first"), F.max("key").alias("a"), F.min("key").alias("b")).where("a <> b").select("h", "h2", "first")
+        return part.join(F.broadcast(first) if small else first, ["h", "h2"]).where("key <> first").select("raw_no", "line")
+
+    met = later(long.join(hot, "line", "left_anti"), False).unionByName(later(long.join(hot, "line", "left_semi"), True))
     return met.groupBy("raw_no").agg(F.collect_set("line").alias("ancestors"))
 
 
@@ -255,8 +273,7 @@ def not_new_lines(raw: DataFrame, source_types: DataFrame) -> DataFrame:
     known = frozenset(line for line, _ in common)
     # the most frequent last, where deflate finds them nearest
     notices = [line for line, n in sorted(common, key=lambda x: (x[1], x[0])) if len(line) >= NOTICE_CHARS and not GREETING.match(line)]
-    closing_bytes = (NOTICE_SEED + " ".join(notices)).encode()[-3500:]
-    seeded = (NOTICE_SEED.encode() + closing_bytes)[-4000:] if len(closing_bytes) < 3500 else closing_bytes
+    seeded = (NOTICE_SEED + " ".join(notices)).encode()
     sent = raw.sparkSession.sparkContext.broadcast((known, seeded))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

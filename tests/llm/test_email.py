@@ -45,6 +45,26 @@ def test_recurring_notices_and_ancestors(spark, rows):
     assert new[6] == "새로 쓴 답\n끝에 덧붙인 새 글" and new[2] == "새로 쓴 글 0번은 서로 다릅니다." and 90 not in new
 
 
+def test_exact_overlaps_beyond_one_window():
+    old = [f"{chr(0xAC00 + 97 * i)}{chr(0xB098 + 61 * i)} 지점의 {i * 7919}번 실사에서 나온 내용은 {chr(0xC0AC + 31 * i)}{i * 104729} 건이다." for i in range(90)]
+    body = "\n".join(["새로 쓴 답", *old, "끝에 덧붙인 새 글"])
+    assert M.not_new(body, ancestors=frozenset(old), closing_bytes=M.NOTICE_SEED.encode()) == list(range(2, 92))
+    notices = [x + " 알림" for x in old]
+    packed = (M.NOTICE_SEED + " ".join(notices)).encode()
+    assert M.not_new("\n".join(["새 글", *notices]), closings=frozenset(notices), closing_bytes=packed) == list(range(2, 92))
+    # a notice in other words is found by the block that has it, here the first of several
+    text = "본 메일은 기밀 정보를 담고 있으며 지정된 수신인 외의 사용을 금합니다"
+    assert M.shrinks(text, packed) and not M.shrinks(text, packed[2000:])
+
+
+def test_lines_of_a_thread_that_many_messages_quote(spark, rows):
+    old = ["재고 실사에서 나온 첫째 문단은 이만큼 길고 고유한 내용을 담는다.", "둘째 문단 또한 이만큼 길고 다른 메일에 없는 내용을 담는다."]
+    bodies = ["\n".join(old)] + ["\n".join([f"새로 쓴 답 {i}", *old, f"끝에 덧붙인 새 글 {i}"]) for i in range(5)]
+    raw = spark.createDataFrame([(i, f"E{i}", "MAIL", None, None, b, "x") for i, b in enumerate(bodies, 1)], RAW)
+    types = spark.createDataFrame([("EMAIL", "MAIL")], TYPES)
+    assert [r for r in rows(M.not_new_lines(raw, types)) if r[0] > 1] == [(i, n) for i in range(2, 7) for n in (2, 3)]
+
+
 def test_empty_table(spark, rows):
     raw, types = spark.createDataFrame([], RAW), spark.createDataFrame([("EMAIL", "MAIL")], TYPES)
     assert rows(M.not_new_lines(raw, types)) == [] and rows(M.newly_written(raw, types)) == []
