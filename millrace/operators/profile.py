@@ -17,6 +17,8 @@ from millrace.functions.keys import is_blank
 #: Bits of ``flags``: what a value's row says beyond the value itself.
 MISSING, OUT_OF_RANGE, HAS_BOTH, STALE = 1, 2, 4, 8
 KEYS = ["load_no", "col_name", "value", "flags"]
+#: Columns whose values are times.
+DATES = ("published_at", "collected_at")
 EARLIEST = "2000-01-01 00:00:00"
 STALE_AFTER = "INTERVAL 30 DAYS"
 TITLE_SHORTEST, TITLE_LONGEST = 8, 90
@@ -113,10 +115,12 @@ def profile(counts: DataFrame) -> DataFrame:
 def drift(counts: DataFrame, buckets: Column | None = None) -> DataFrame:
     """(load_no, col_name, distance): total variation between the value shapes of a load and of the load before it.
 
-    The shape of a value is its text with digit runs as 9; it keeps the compared distributions small. Loads are
-    ordered by number; the first load of a column has no predecessor and gives a null distance.
+    The shape of a date is its day, that of any other value its whole text with digit runs as 9, so moves within a day
+    and moves of numbers alone give 0. Loads are ordered by number; the first load of a column has no predecessor and
+    gives a null distance.
     """
-    shape = F.coalesce(F.regexp_replace(F.substring("value", 1, 40), "[0-9]+", "9"), F.lit("(none)")) if buckets is None else buckets
+    text = F.when(F.col("col_name").isin(*DATES), F.substring("value", 1, 10)).otherwise(F.regexp_replace("value", "[0-9]+", "9"))
+    shape = F.coalesce(text, F.lit("(none)")) if buckets is None else buckets
     by_shape = counts.withColumn("shape", shape).groupBy("load_no", "col_name", "shape").agg(F.sum("n").alias("n"))
     totals = by_shape.groupBy("load_no", "col_name").agg(F.sum("n").alias("total"))
     before = Window.partitionBy("col_name").orderBy("load_no")

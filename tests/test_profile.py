@@ -68,3 +68,10 @@ def test_drift_is_total_variation_to_the_load_before(spark):
     data = [(1, None, None, t, 0) for t in ("a1", "a2", "b")] + [(2, None, None, t, 0) for t in ("a9", "c", "c")]
     got = {(r.load_no, r.col_name): r.distance for r in P.drift(P.apply_deltas(None, P.load_deltas(spark.createDataFrame(data, RAW), _loads(spark)))).collect()}
     assert got[1, "title"] is None and abs(got[2, "title"] - 2 / 3) < 1e-6
+
+
+def test_drift_sees_moves_behind_a_common_start_and_moves_of_dates(spark):
+    start = "같은 말로 시작하는 긴 제목 " * 4
+    data = [(1, D(2025, 1, k, 7), D(2025, 1, 9), f"{start} 앞", 0) for k in (1, 2)] + [(2, D(2025, 1, k, 8), D(2025, 2, 9), f"{start} {t}", 0) for k, t in ((2, "앞"), (3, "뒤"))]
+    got = {(r.load_no, r.col_name): r.distance for r in P.drift(P.apply_deltas(None, P.load_deltas(spark.createDataFrame(data, RAW), _loads(spark)))).collect()}
+    assert (got[2, "title"], got[2, "published_at"], got[2, "collected_at"]) == (0.5, 0.5, 1.0)
