@@ -58,9 +58,10 @@ def delta_vs_previous(summary: DataFrame, order: str, value: str, group: str | N
 
 
 def first_last(runs: DataFrame, row: str, column: str, values: list[str], metric: str) -> DataFrame:
-    """The metric of each run across, with last minus first and whether it regressed."""
-    wide = runs.groupBy(row).pivot(column, values).agg(F.first(metric))
-    d = F.round(F.col(f"`{values[-1]}`") - F.col(f"`{values[0]}`"), 6)
+    """The metric of each run across, with last minus first and whether it regressed; a row's first and last are those it has."""
+    wide = runs.groupBy(row).pivot(column, values).agg(F.first(metric)) if values else runs.select(row).distinct()
+    across = [F.col(f"`{v}`") for v in values] or [F.lit(None).cast("double")]
+    d = F.round(F.coalesce(*reversed(across)) - F.coalesce(*across), 6)
     return wide.withColumn("delta", d).withColumn("regressed", F.coalesce(d < 0, F.lit(False)))
 
 

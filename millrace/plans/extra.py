@@ -53,9 +53,11 @@ def rubric(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_last(spark: SparkSession, d: str) -> DataFrame:
-    raw = C.typed(spark, d).where("doc_type is not null").withColumn("run", F.concat(F.lit("L"), "load_no"))
-    runs = raw.where("load_no in (1, 2, 3)").groupBy("doc_type", "run").agg(F.round(F.avg((F.col("published_at").isNull()).cast("double")), 6).alias("p"))
-    return P.first_last(runs, "doc_type", "run", ["L1", "L2", "L3"], "p")
+    """Share of undated rows of each type, one column a load, over all loads of the table."""
+    raw = C.typed(spark, d).where("doc_type is not null and load_no is not null").withColumn("run", F.concat(F.lit("L"), "load_no"))
+    loads = [r.load_no for r in table(spark, d, "raw").where("load_no is not null").select("load_no").distinct().orderBy("load_no").collect()]
+    runs = raw.groupBy("doc_type", "run").agg(F.round(F.avg((F.col("published_at").isNull()).cast("double")), 6).alias("p"))
+    return P.first_last(runs, "doc_type", "run", [f"L{k}" for k in loads], "p")
 
 
 def worst(spark: SparkSession, d: str) -> DataFrame:

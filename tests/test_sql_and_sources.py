@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,17 @@ def test_stream_of_events_equals_the_table(spark, tmp_path, rows):
 def test_entry_points():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and {"p1_found", "p5_found", "p6_found"} <= set(queries)
+
+
+def test_first_last_reads_every_load(spark, tmp_path):
+    from millrace.plans import extra
+
+    at = datetime.datetime(2025, 1, 1)
+    # a type that changes after load 3, and one without the first and last loads
+    data = [(k, "NEWS", at if k < 12 else None) for k in range(1, 13)] + [(2, "MAIL", None), (5, "MAIL", at), (None, "MAIL", None)]
+    spark.createDataFrame(data, "load_no bigint, doc_type string, published_at timestamp_ntz").write.parquet(f"{tmp_path}/raw.parquet")
+    spark.createDataFrame([("EMAIL", "MAIL"), ("NEWS", None)], "code string, aliases string").write.parquet(f"{tmp_path}/source_types.parquet")
+    df = extra.first_last(spark, str(tmp_path))
+    got = {r.doc_type: r for r in df.collect()}
+    assert df.columns == ["doc_type", *(f"L{k}" for k in range(1, 13)), "delta", "regressed"]
+    assert (got["NEWS"].delta, got["NEWS"].regressed, got["EMAIL"].delta, got["EMAIL"].regressed) == (1.0, False, -1.0, True)
