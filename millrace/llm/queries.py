@@ -33,6 +33,11 @@ def p4_new_text(spark: SparkSession, d: str) -> DataFrame:
     return email.newly_written(table(spark, d, "raw"), table(spark, d, "source_types"))
 
 
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines each dictionary shows, and how many only the frame."""
+    return email.line_paths(table(spark, d, "raw"), table(spark, d, "source_types")).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_new_text": p4_new_text,
+    "p4_paths": p4_paths,
     "p7_ids": p7_ids,
     "p7_roundtrip": p7_roundtrip,
     "p8_containers": p8_containers,

@@ -18,10 +18,37 @@ CASES = [
 ]
 
 
+#: Closings as a corpus would give them.
+LEARNT = M.Dictionary(["본 메일은 기밀 정보를 담고 있으며 지정된 수신인 외의 사용을 금합니다.", "Sent from my handset", "투자관리팀 | 9-9-9 | @memco.example"])
+NONE = M.Dictionary()
+
+
+def _numbers(body, closings=LEARNT, senders=NONE, ancestors=None, sender=""):
+    return {n for n, _ in M.not_new(M.framed(body, sender), closings, senders, ancestors or {}, sender)}
+
+
 @pytest.mark.parametrize("body,want", CASES)
 def test_lines(body, want):
-    assert set(M.not_new(body, closing_bytes=M.NOTICE_SEED.encode()[-3500:], sender="")) == want
-    assert set(M.not_new(body.replace("\n", "\r\n"), closing_bytes=M.NOTICE_SEED.encode()[-3500:], sender="")) == want
+    assert _numbers(body) == want
+    assert _numbers(body.replace("\n", "\r\n")) == want
+
+
+def test_without_dictionaries_notices_and_unseen_closings_stay():
+    body = CASES[7][0]
+    assert _numbers(body) - _numbers(body, NONE) == {8}
+    contact = "새로 쓴 글이다.\n\n다른 팀 / 투자관리팀 | 02-111-2222 | x@memco.example"
+    assert _numbers(contact) == {3} and _numbers(contact, NONE) == set()  # pieces of a line that the dictionary holds
+
+
+def test_closings_of_the_sender():
+    body = "새로 쓴 글이다.\n\n늘 하던 인사\n내 자리 3층"
+    assert _numbers(body) == set() and _numbers(body, senders=M.Dictionary(["늘 하던 인사", "내 자리 9층"])) == {3, 4}
+
+
+def test_a_long_signature_and_a_long_ruled_block():
+    names = [f"{x}리나" for x in "가나다라마바사아자차"]
+    assert _numbers("\n".join(["새 글이다.", "감사합니다.", *names]), NONE) == set(range(2, 13))
+    assert _numbers("\n".join(["새 글이다.", "=======", *names, "======="]), NONE) == set(range(2, 14))
 
 
 def test_gain_needs_the_dictionary():
@@ -46,15 +73,28 @@ def test_recurring_notices_and_ancestors(spark, rows):
 
 
 def test_exact_overlaps_beyond_one_window():
-    old = [f"{chr(0xAC00 + 97 * i)}{chr(0xB098 + 61 * i)} 지점의 {i * 7919}번 실사에서 나온 내용은 {chr(0xC0AC + 31 * i)}{i * 104729} 건이다." for i in range(90)]
+    old = [f"{chr(0xAC00 + 7 * i)}{chr(0xB098 + 5 * i)} 지점의 {i * 7919}번 실사에서 나온 내용은 {chr(0xC0AC + 3 * i)}{i * 104729} 건이다." for i in range(900)]
     body = "\n".join(["새로 쓴 답", *old, "끝에 덧붙인 새 글"])
-    assert M.not_new(body, ancestors=frozenset(old), closing_bytes=M.NOTICE_SEED.encode()) == list(range(2, 92))
+    assert _numbers(body, NONE, ancestors=dict.fromkeys(old, False)) == set(range(2, 902))
     notices = [x + " 알림" for x in old]
-    packed = (M.NOTICE_SEED + " ".join(notices)).encode()
-    assert M.not_new("\n".join(["새 글", *notices]), closings=frozenset(notices), closing_bytes=packed) == list(range(2, 92))
-    # a notice in other words is found by the block that has it, here the first of several
-    text = "본 메일은 기밀 정보를 담고 있으며 지정된 수신인 외의 사용을 금합니다"
-    assert M.shrinks(text, packed) and not M.shrinks(text, packed[2000:])
+    many = M.Dictionary(map(M.shape, notices))
+    assert _numbers("\n".join(["새 글", *notices]), many) == set(range(2, 902)) and len(many.blocks) > 1
+    # a closing in other words is found by the block that has it, whichever it is
+    spread = M.Dictionary([f"{a}{b} 줄" for a in map(chr, range(0xAC00, 0xAC80)) for b in map(chr, range(0xB000, 0xB040))][:4000] + ["고객품질팀 | 9-9-9 | @memco.example"] + [f"{a}{b} 단" for a in map(chr, range(0xAD00, 0xAD80)) for b in map(chr, range(0xB000, 0xB040))])
+    assert spread.shrinks("새 고객품질팀 | 9-9-9 | @memco.example") and len(spread.blocks) > 3 and b"".join(spread.blocks[::2]).count(b"@memco") >= 1
+
+
+def test_one_line_of_the_same_subject_is_enough(spark, rows):
+    a, b = "재고 실사에서 나온 첫째 문단은 이만큼 길고 고유한 내용을 담는다.", "둘째 문단 또한 이만큼 길고 다른 메일에 없는 내용을 담는다."
+    data = [(1, "E1", "MAIL", None, None, f"{a}\n{b}", "x", "재고 건"), (2, "E2", "MAIL", None, None, f"새로 쓴 답\n{a}\n끝", "x", "회신: RE: 재고 건"), (3, "E3", "MAIL", None, None, f"새로 쓴 답\n{b}\n끝", "x", "다른 건")]
+    raw, types = spark.createDataFrame(data, RAW + ", title string"), spark.createDataFrame([("EMAIL", "MAIL")], TYPES)
+    assert rows(M.line_paths(raw, types)) == [(2, 2, "ancestor")]
+
+
+def test_a_sender_with_half_of_the_messages(spark, rows):
+    data = [(i, f"E{i}", "MAIL", "갑돌이" if i % 2 else f"s{i}", None, f"이번에 새로 쓴 글 {'가나다라마바사아자차'[i % 10] * (i + 1)}이다.\n\n늘 하던 인사 갑돌이" if i % 2 else f"또 다른 글 {'거너더러머버서어저처'[i % 10] * (i + 1)}이다.", "x") for i in range(40)]
+    raw, types = spark.createDataFrame(data, RAW), spark.createDataFrame([("EMAIL", "MAIL")], TYPES)
+    assert rows(M.not_new_lines(raw, types)) == [(i, 3) for i in range(1, 40, 2)]
 
 
 def test_lines_of_a_thread_that_many_messages_quote(spark, rows):
