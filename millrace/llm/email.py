@@ -98,11 +98,11 @@ def blocks(dictionary: bytes, size: int = BLOCK) -> list[bytes]:
     return [dictionary[i : i + size] for i in [*range(0, last, size // 2), last]] if dictionary else []
 
 
-_DIGITS, _RUNS, _MAILBOX = re.compile(r"\d+"), re.compile(r"(\W)\1{4,}"), re.compile(r"[^\s@|<>(]+@")
+_DIGITS, _RUNS, _MAILBOX = re.compile(r"\d[\d-]*\d"), re.compile(r"(\W)\1{4,}"), re.compile(r"[^\s@|<>(]+@")
 
 
 def shape(line: str) -> str:
-    """A line with digit runs as 9, mail boxes without their name, and runs of one sign as five."""
+    """A line with numbers of two digits or more as 9, mail boxes without their name, and runs of one sign as five."""
     return _RUNS.sub(r"\1\1\1\1\1", _DIGITS.sub("9", _MAILBOX.sub("@", line)))
 
 

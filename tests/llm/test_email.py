@@ -19,7 +19,7 @@ CASES = [
 
 
 #: Closings as a corpus would give them.
-LEARNT = M.Dictionary(["본 메일은 기밀 정보를 담고 있으며 지정된 수신인 외의 사용을 금합니다.", "Sent from my handset", "투자관리팀 | 9-9-9 | @memco.example"])
+LEARNT = M.Dictionary(["본 메일은 기밀 정보를 담고 있으며 지정된 수신인 외의 사용을 금합니다.", "Sent from my handset", "투자관리팀 | 9 | @memco.example"])
 NONE = M.Dictionary()
 
 
@@ -41,7 +41,7 @@ def test_without_dictionaries_notices_and_unseen_closings_stay():
 
 
 def test_closings_of_the_sender():
-    body = "새로 쓴 글이다.\n\n늘 하던 인사\n내 자리 3층"
+    body = "새로 쓴 글이다.\n\n늘 하던 인사\n내 자리 31층"
     assert _numbers(body) == set() and _numbers(body, senders=M.Dictionary(["늘 하던 인사", "내 자리 9층"])) == {3, 4}
 
 
@@ -80,8 +80,8 @@ def test_exact_overlaps_beyond_one_window():
     many = M.Dictionary(map(M.shape, notices))
     assert _numbers("\n".join(["새 글", *notices]), many) == set(range(2, 902)) and len(many.blocks) > 1
     # a closing in other words is found by the block that has it, whichever it is
-    spread = M.Dictionary([f"{a}{b} 줄" for a in map(chr, range(0xAC00, 0xAC80)) for b in map(chr, range(0xB000, 0xB040))][:4000] + ["고객품질팀 | 9-9-9 | @memco.example"] + [f"{a}{b} 단" for a in map(chr, range(0xAD00, 0xAD80)) for b in map(chr, range(0xB000, 0xB040))])
-    assert spread.shrinks("새 고객품질팀 | 9-9-9 | @memco.example") and len(spread.blocks) > 3 and b"".join(spread.blocks[::2]).count(b"@memco") >= 1
+    spread = M.Dictionary([f"{a}{b} 줄" for a in map(chr, range(0xAC00, 0xAC80)) for b in map(chr, range(0xB000, 0xB040))][:4000] + ["고객품질팀 | 9 | @memco.example"] + [f"{a}{b} 단" for a in map(chr, range(0xAD00, 0xAD80)) for b in map(chr, range(0xB000, 0xB040))])
+    assert spread.shrinks("새 고객품질팀 | 9 | @memco.example") and len(spread.blocks) > 3 and b"".join(spread.blocks[::2]).count(b"@memco") >= 1
 
 
 def test_one_line_of_the_same_subject_is_enough(spark, rows):
