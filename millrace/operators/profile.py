@@ -2,17 +2,17 @@
 
 The state is one table of value counts, ``(load_no, col_name, value, flags, n)``. A load, or its retraction, is a table
 of signed deltas of the same shape; applying deltas adds counts and drops what falls to zero. Every figure, entropy
-included, is derived from the counts, never from the rows, so re-reading earlier loads is not needed.
+included, is derived from the counts, never from the rows. ``ValueCounts`` keeps the table on disk; ``maintain`` applies
+the delta of each load that is new or has changed and leaves the others alone.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import is_blank
+from millrace.operators.counts import CountStore, added_up
 
 #: Bits of ``flags``: what a value's row says beyond the value itself.
 MISSING, OUT_OF_RANGE, HAS_BOTH, STALE = 1, 2, 4, 8
@@ -67,24 +67,40 @@ def load_deltas(raw: DataFrame, loads: DataFrame, sign: int = 1) -> DataFrame:
 
 def apply_deltas(state: DataFrame | None, *deltas: DataFrame) -> DataFrame:
     """The value counts after the deltas: counts add up, zero counts leave the table."""
-    parts = [*([state] if state is not None else []), *deltas]
-    return reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(F.sum("n").alias("n")).where("n <> 0")
+    return added_up(KEYS, *([state] if state is not None else []), *deltas)
+
+
+COUNTS = "load_no bigint, col_name string, value string, flags int, n bigint"
 
 
-class ValueCounts:
-    """A value-count table kept on disk as numbered snapshots; the last complete one is the state."""
+class ValueCounts(CountStore):
+    """The value-count table of a raw table, kept on disk."""
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.version = 0
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, COUNTS)
 
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}") if self.version else None
+    def maintain(self, raw: DataFrame, loads: DataFrame) -> DataFrame:
+        """The state after the deltas of every load that is new or differs from what was applied; a changed or vanished load is retracted first.
 
-    def apply(self, *deltas: DataFrame) -> DataFrame:
-        apply_deltas(self.read(), *deltas).write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
-        return self.read()
+        A load is known by the print of its rows and its span. Loads that stand in the state as they are cost one scan
+        of the profiled columns.
+        """
+        changes = self.stale(load_prints(raw, loads).select(F.col("load_no").cast("string").alias("part"), "print"))
+        if changes:
+            changed = F.broadcast(self.spark.createDataFrame([(int(p),) for p, _, _ in changes], "load_no bigint"))  # one row a load
+            deltas = [load_deltas(raw.join(changed, "load_no", "left_semi"), loads)]
+            if any(former is not None for _, _, former in changes):
+                deltas.append(self.state().join(changed, "load_no", "left_semi").withColumn("n", -F.col("n")))
+            self.apply(*deltas, prints=[(p, now) for p, now, _ in changes])
+        return self.state()
+
+
+def load_prints(raw: DataFrame, loads: DataFrame) -> DataFrame:
+    """(load_no, print): rows, hashes and span of each load that has rows; equal prints mean equal deltas."""
+    spans = loads.where("load_no is not null").groupBy("load_no").agg(F.min("started_at").alias("__from"), F.max("finished_at").alias("__to"))
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "published_at", "collected_at", "title").cast("decimal(20,0)")).cast("string")
+    rows = raw.where("load_no is not null").groupBy("load_no").agg(F.concat_ws("/", F.count(F.lit(1)).cast("string"), h(1), h(2)).alias("p"))
+    return rows.join(spans, "load_no", "left").select(F.col("load_no").cast("long").alias("load_no"), F.concat_ws("/", "p", F.coalesce(F.col("__from").cast("string"), F.lit("-")), F.coalesce(F.col("__to").cast("string"), F.lit("-"))).alias("print"))
 
 
 def _per_value(counts: DataFrame) -> DataFrame:

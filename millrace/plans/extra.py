@@ -125,7 +125,7 @@ _MOVES = (
     __import__("millrace.plans.quality", fromlist=["x"])._P1_ROWS
     + """,
 v AS (SELECT load_no, 'published_at' AS col_name, strftime(p, '%Y-%m-%d %H:%M:%S.%f') AS value FROM r UNION ALL SELECT load_no, 'collected_at', strftime(c, '%Y-%m-%d %H:%M:%S.%f') FROM r UNION ALL SELECT load_no, 'title', t FROM r),
-sh AS (SELECT load_no, col_name, coalesce(regexp_replace(substr(value, 1, 40), '[0-9]+', '9', 'g'), '(none)') AS shape, count(*) AS n FROM v GROUP BY ALL),
+sh AS (SELECT load_no, col_name, coalesce(CASE WHEN col_name = 'title' THEN regexp_replace(value, '[0-9]+', '9', 'g') ELSE substr(value, 1, 10) END, '(none)') AS shape, count(*) AS n FROM v GROUP BY ALL),
 tt AS (SELECT load_no, col_name, sum(n) AS total FROM sh GROUP BY ALL), pv AS (SELECT load_no, col_name, lag(load_no) OVER (PARTITION BY col_name ORDER BY load_no) AS prev_no FROM tt), sr AS (SELECT load_no, col_name, shape, n / total AS share FROM sh JOIN tt USING (load_no, col_name)),
 mv AS (SELECT load_no, col_name, shape, share AS d FROM sr UNION ALL SELECT pv.load_no, pv.col_name, shape, -share FROM pv JOIN sr ON sr.load_no = prev_no AND sr.col_name = pv.col_name)
 SELECT pv.load_no, pv.col_name, CASE WHEN prev_no IS NOT NULL THEN tv END AS distance FROM pv JOIN (SELECT load_no, col_name, round(sum(abs(d)) / 2, 6) AS tv FROM (SELECT load_no, col_name, shape, sum(d) AS d FROM mv GROUP BY ALL) GROUP BY ALL) USING (load_no, col_name)"""

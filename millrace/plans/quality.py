@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from millrace.operators import profile as P
 from millrace.operators import references as R
 from millrace.operators import unpack as U
-from millrace.session import table
+from millrace.session import kept_dir, table
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return P.apply_deltas(None, P.load_deltas(table(spark, d, "raw"), table(spark, d, "loads")))
+    """The maintained counts of a data directory: a delta for each load that is new or has changed since the last query."""
+    return P.ValueCounts(spark, kept_dir(spark, "value-counts", d)).maintain(table(spark, d, "raw"), table(spark, d, "loads"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,23 +28,20 @@ def p1_drift(spark: SparkSession, d: str) -> DataFrame:
     return P.drift(_counts(spark, d))
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    state = R.apply_deltas(None, R.collection_deltas(table(spark, d, "raw")), R.removal_deltas(table(spark, d, "removals")))
-    return R.orphans(table(spark, d, "chunks"), state)
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    """The maintained counts of collections, removals and references of a data directory."""
+    store = R.ReferenceCounts(spark, kept_dir(spark, "reference-counts", d))
+    return store.maintain(table(spark, d, "raw"), table(spark, d, "removals"), table(spark, d, "chunks"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select(F.col("ref_id").alias("chunk_id")).distinct()
+    return R.orphans(table(spark, d, "chunks"), _references(spark, d)).select(F.col("ref_id").alias("chunk_id")).distinct()
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        _orphans(spark, d)
-        .select(F.lit("chunks").alias("table_name"), F.date_format("ref_at", "yyyy-MM").alias("month"), "reason", "ref_id")
-        .distinct()
-        .groupBy("table_name", "month", "reason")
-        .agg(F.count(F.lit(1)).alias("n_orphans"))
-    )
+    """Orphan references per table and month, from the counts alone."""
+    by_month = R.orphan_counts(_references(spark, d)).select(F.lit("chunks").alias("table_name"), F.date_format("at", "yyyy-MM").alias("month"), "reason", "n")
+    return by_month.groupBy("table_name", "month", "reason").agg(F.sum("n").alias("n_orphans"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

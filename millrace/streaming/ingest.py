@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,5 +17,9 @@ def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
 
 
 def follow(stream: DataFrame, store, make_deltas, checkpoint: str):
-    """Applies the deltas of every micro-batch of ``stream`` to a value-count store; ``make_deltas(batch)`` gives them. Returns the query."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: store.apply(make_deltas(batch))).start()
+    """Applies the deltas of every micro-batch of ``stream`` to a value-count store; ``make_deltas(batch)`` gives them. Returns the query.
+
+    A micro-batch is named by the query, which its checkpoint fixes, and its number, so one that is retried counts once.
+    """
+    query = hashlib.md5(checkpoint.encode(), usedforsecurity=False).hexdigest()
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, n: store.apply(make_deltas(batch), batch=f"{query}-{n}")).start()

@@ -48,6 +48,46 @@ def test_signed_deltas_step_by_step_equal_one_pass_and_cancel(spark, rows, tmp_p
     assert rows(store.read().select("load_no").distinct()) == [(1,)]
 
 
+def test_a_store_opened_again_goes_on_where_the_first_ended(spark, rows, tmp_path):
+    raw, loads = _raw(spark), _loads(spark)
+    P.ValueCounts(spark, str(tmp_path)).apply(P.load_deltas(raw.where("load_no = 1"), loads), batch="a")
+    second = P.ValueCounts(spark, str(tmp_path))
+    first_counts = rows(second.read(), *P.KEYS, "n")
+    second.apply(P.load_deltas(raw.where("load_no = 2"), loads), batch="b")
+    third = P.ValueCounts(spark, str(tmp_path))
+    assert set(first_counts) < set(rows(third.read(), *P.KEYS, "n"))
+    assert rows(third.read(), *P.KEYS, "n") == rows(P.apply_deltas(None, P.load_deltas(raw.where("load_no < 3"), loads)), *P.KEYS, "n")
+
+
+def test_replayed_batches_count_once_and_merging_keeps_the_state(spark, rows, tmp_path):
+    raw, loads = _raw(spark), _loads(spark)
+    store, delta = P.ValueCounts(spark, str(tmp_path)), P.load_deltas(raw, loads)
+    want = rows(store.apply(delta, batch="a"), *P.KEYS, "n")
+    assert rows(store.apply(delta, batch="a"), *P.KEYS, "n") == want
+    store.compact()
+    assert rows(P.ValueCounts(spark, str(tmp_path)).apply(delta, batch="a"), *P.KEYS, "n") == want and len(store.batches()) == 1
+    # a batch that was written but never entered in the ledger is no part of the state
+    delta.write.parquet(f"{tmp_path}/batch-torn")
+    assert rows(store.read(), *P.KEYS, "n") == want
+
+
+def test_maintained_counts_follow_new_changed_and_vanished_loads(spark, tmp_path, monkeypatch):
+    raw, loads = _raw(spark), _loads(spark)
+    rows = lambda df, *order: sorted(df.select(*(order or df.columns)).collect(), key=str)
+    want = lambda df: rows(P.apply_deltas(None, P.load_deltas(df, loads)), *P.KEYS, "n")
+    path = str(tmp_path)
+    assert rows(P.ValueCounts(spark, path).maintain(raw.where("load_no < 3"), loads), *P.KEYS, "n") == want(raw.where("load_no < 3"))
+    assert rows(P.ValueCounts(spark, path).maintain(raw, loads), *P.KEYS, "n") == want(raw)
+    n = len(P.ValueCounts(spark, path).batches())
+    assert rows(P.ValueCounts(spark, path).maintain(raw, loads), *P.KEYS, "n") == want(raw) and len(P.ValueCounts(spark, path).batches()) == n
+    changed = _raw(spark, [(0, (1, None, None, "다른 제목으로 바뀌었다", 7))]).where("load_no <> 5")
+    monkeypatch.setattr("millrace.operators.counts.MOST_BATCHES", 2)
+    store = P.ValueCounts(spark, path)
+    assert rows(store.maintain(changed, loads), *P.KEYS, "n") == want(changed)
+    assert rows(P.ValueCounts(spark, path).maintain(changed, loads), *P.KEYS, "n") == want(changed)
+    assert rows(P.ValueCounts(spark, path + "/none").maintain(raw.limit(0), loads)) == []
+
+
 def test_profile_and_entropy(spark):
     raw = spark.createDataFrame([(1, None, None, t, 0) for t in ("a", "a", "b", None, " ")], RAW)
     p = {r.col_name: r for r in P.profile(P.apply_deltas(None, P.load_deltas(raw, _loads(spark)))).collect()}

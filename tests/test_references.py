@@ -9,8 +9,9 @@ RAW, REM, CH = "doc_id string, collected_at timestamp_ntz, key string", "doc_id
 
 
 def _run(spark, raw, rem, chunks):
-    state = R.apply_deltas(None, R.collection_deltas(spark.createDataFrame(raw, RAW)), R.removal_deltas(spark.createDataFrame(rem, REM)))
-    return {(r.ref_id, r.reason) for r in R.orphans(spark.createDataFrame(chunks, CH), state).collect()}
+    refs = spark.createDataFrame(chunks, CH)
+    state = R.apply_deltas(None, R.collection_deltas(spark.createDataFrame(raw, RAW)), R.removal_deltas(spark.createDataFrame(rem, REM)), R.reference_deltas(refs))
+    return {(r.ref_id, r.reason) for r in R.orphans(refs, state).collect()}
 
 
 def test_reasons_and_edges(spark):
@@ -27,7 +28,29 @@ def test_withdrawn_collections_leave_the_state(spark):
     state = R.apply_deltas(R.apply_deltas(None, R.collection_deltas(raw)), R.collection_deltas(raw, sign=-1))
     assert state.isEmpty()
     chunks = spark.createDataFrame([("a", "A", D(2025, 2, 1), "", "")], CH)
+    state = R.apply_deltas(state, R.reference_deltas(chunks))
     assert [r.reason for r in R.orphans(chunks, state).collect()] == ["missing"]
+    # withdrawn references too: nothing refers to the key any more
+    state = R.apply_deltas(state, R.reference_deltas(chunks, sign=-1))
+    assert state.isEmpty() and R.orphan_counts(state).isEmpty()
+
+
+def test_maintained_counts_follow_the_tables(spark, tmp_path):
+    t = lambda n: D(2025, 1, n)
+    raw, rem = spark.createDataFrame([("A", t(1), "x"), ("B", t(1), "x")], RAW), spark.createDataFrame([("B", t(2), "x")], REM)
+    chunks = spark.createDataFrame([("a", "A", t(3), "", ""), ("a", "A", t(3), "", ""), ("b", "b", t(3), "", ""), ("c", "C", None, "", "")], CH)
+    found = lambda r, m, c: {(x.key, x.n, x.reason) for x in R.orphan_counts(R.ReferenceCounts(spark, str(tmp_path)).maintain(r, m, c)).collect()}
+    assert found(raw, rem, chunks) == {("B", 1, "removed"), ("C", 1, "missing")}
+    n = len(R.ReferenceCounts(spark, str(tmp_path)).batches())
+    assert found(raw, rem, chunks) == {("B", 1, "removed"), ("C", 1, "missing")} and len(R.ReferenceCounts(spark, str(tmp_path)).batches()) == n
+    late = raw.unionByName(spark.createDataFrame([("C", t(5), "x")], RAW))
+    assert found(late, rem.limit(0), chunks) == set()
+    assert found(raw.where("doc_id = 'B'"), rem.limit(0), chunks.where("chunk_id = 'a'")) == {("A", 1, "missing")}
+
+
+def test_one_key_with_half_of_the_references(spark):
+    chunks = [(str(i), "hot" if i % 2 else f"k{i}", D(2025, 1, 1 + i % 28), "", "") for i in range(2000)]
+    assert len(_run(spark, [(f"k{i}", D(2024, 1, 1), "x") for i in range(0, 2000, 2)], [], chunks)) == 1000
 
 
 def test_empty_tables(spark):
