@@ -6,10 +6,10 @@ import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-LEDGER = "seq bigint, batch string, part string, print string"
+LEDGER = "generation int, seq bigint, batch string, part string, print string"
 #: Batches of deltas that are added up when the state is read; beyond so many they are merged into one.
 MOST_BATCHES = 32
 
@@ -25,8 +25,9 @@ class CountStore:
     ``path``/batch-* holds the counts of one batch of deltas. A batch belongs to the state once it stands in the ledger, an
     append-only table that is written after the counts, so a batch that was cut short is never read. A batch whose name
     the ledger has is not applied again, so replays change nothing. Any number of objects may be opened on one folder one
-    after another; each reads the state from the disk. Writers must not run at once. ``compact`` merges the batches into
-    one and starts the next ledger. ``schema`` names the key columns and, last, ``n bigint``.
+    after another; each reads the ledger when it is asked. Writers must not run at once. ``compact`` merges the batches
+    into one, which opens the next generation of the ledger. The ledger has one row a batch and one a part of the source
+    (a load, a table) in it, so the driver holds it. ``schema`` names the key columns and, last, ``n bigint``.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
@@ -34,74 +35,73 @@ class CountStore:
         self.columns = [tuple(c.split()) for c in schema.split(", ")]
         self.keys = [c for c, _ in self.columns if c != "n"]
 
-    def _stored(self, name: str, schema: str) -> DataFrame:
-        """A table of the folder, empty where it has not been written yet."""
+    def ledger(self) -> list[Row]:
+        """The rows of the last generation in order: what was applied; part and print are null for a batch as a whole."""
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            rows = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger").collect()
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return []
+        last = max(r.generation for r in rows)
+        return sorted((r for r in rows if r.generation == last), key=lambda r: r.seq)
 
-    def _generation(self) -> int:
-        return self._stored("heads", "generation int").agg(F.max("generation")).first()[0] or 0
+    def _enter(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
 
-    def ledger(self) -> DataFrame:
-        """(seq, batch, part, print): what was applied, in order; part and print are null for the batch as a whole."""
-        return self._stored(f"ledger-{self._generation()}", LEDGER)
-
-    def batches(self) -> list[str]:
+    def batches(self, ledger: list[Row] | None = None) -> list[str]:
         """Names of the batches whose sum is the state; ``compact`` keeps them few."""
-        return [r.batch for r in self.ledger().where("seq > 0").groupBy("batch").agg(F.min("seq").alias("seq")).orderBy("seq").collect()]
+        return list(dict.fromkeys(r.batch for r in (self.ledger() if ledger is None else ledger) if r.seq > 0))
 
-    def read(self) -> DataFrame | None:
+    def read(self, ledger: list[Row] | None = None) -> DataFrame | None:
         """The state, None before anything was applied."""
-        names = self.batches()
+        names = self.batches(ledger)
         if not names:
             return None
-        return added_up(self.keys, self.spark.read.schema(self.schema).parquet(*(f"{self.path}/batch-{b}" for b in names)))
+        stored = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/batch-{b}" for b in names))
+        return stored if len(names) == 1 else added_up(self.keys, stored)  # one batch is added up already
 
-    def state(self) -> DataFrame:
+    def state(self, ledger: list[Row] | None = None) -> DataFrame:
         """The state, an empty table before anything was applied."""
-        found = self.read()
+        found = self.read(ledger)
         return self.spark.createDataFrame([], self.schema) if found is None else found
 
-    def apply(self, *deltas: DataFrame, batch: str | None = None, prints: list[tuple[str, str | None]] = ()) -> DataFrame:
+    def apply(self, *deltas: DataFrame, batch: str | None = None, prints: list[tuple[str, str | None]] = (), ledger: list[Row] | None = None) -> DataFrame:
         """Adds the deltas and returns the state. ``batch`` names them, so that applying them again does nothing.
 
         ``prints``: (part, print) of the parts of the source that the deltas bring up to date.
         """
         name = batch or uuid.uuid4().hex
-        if self.ledger().where(F.col("batch") == name).isEmpty():
-            done = self.batches()
-            if len(done) >= MOST_BATCHES:
+        entries = self.ledger() if ledger is None else ledger
+        if all(r.batch != name for r in entries):
+            if len(self.batches(entries)) >= MOST_BATCHES:
                 self.compact()
-                done = self.batches()
+                entries = self.ledger()
             counts = added_up(self.keys, *(d.select(*self.keys, "n") for d in deltas))
             counts.select(*(F.col(c).cast(t).alias(c) for c, t in self.columns)).write.mode("overwrite").parquet(f"{self.path}/batch-{name}")
-            rows = [(len(done) + 1, name, p, x) for p, x in [(None, None), *prints]]
-            self.spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").parquet(f"{self.path}/ledger-{self._generation()}")
-        return self.read()
+            generation, seq = (entries[-1].generation, entries[-1].seq + 1) if entries else (0, 1)
+            rows = [Row(generation=generation, seq=seq, batch=name, part=p, print=x) for p, x in [(None, None), *prints]]
+            self._enter(rows)
+            entries = [*entries, *rows]
+        return self.read(entries)
 
     def compact(self) -> None:
-        """Merges all batches into one. The former ones stay readable until the next ledger is in force."""
-        state, former, generation = self.read(), self.ledger(), self._generation() + 1
+        """Merges all batches into one; the former ones are read until the next generation of the ledger stands."""
+        entries = self.ledger()
+        state = self.read(entries)
         if state is None:
             return
-        name = uuid.uuid4().hex
+        name, generation = uuid.uuid4().hex, entries[-1].generation + 1
         state.write.parquet(f"{self.path}/batch-{name}")
         # merged batches stay in the ledger as 0, so that they are not applied again
-        merged = former.where("part is null").select(F.lit(0).cast("long").alias("seq"), "batch", "part", "print").distinct()
-        parts = self.parts().select(F.lit(1).cast("long").alias("seq"), F.lit(name).alias("batch"), "part", "print")
-        whole = self.spark.createDataFrame([(1, name, None, None)], LEDGER)
-        whole.unionByName(merged).unionByName(parts).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ledger-{generation}")
-        self.spark.createDataFrame([(generation,)], "generation int").write.mode("append").parquet(f"{self.path}/heads")
+        merged = [(generation, 0, b, None, None) for b in dict.fromkeys(r.batch for r in entries)]
+        self._enter([*merged, (generation, 1, name, None, None), *((generation, 1, name, p, x) for p, x in self.parts(entries).items())])
 
-    def parts(self) -> DataFrame:
-        """(part, print) of the parts of the source in the state, as last applied."""
-        return self.ledger().where("part is not null").groupBy("part").agg(F.max_by("print", "seq").alias("print"))
+    def parts(self, ledger: list[Row]) -> dict[str, str | None]:
+        """The parts of the source in the state and their prints, as last applied."""
+        return {r.part: r.print for r in ledger if r.part is not None}
 
-    def stale(self, prints: DataFrame) -> list[tuple[str, str | None, str | None]]:
+    def stale(self, prints: DataFrame, ledger: list[Row]) -> list[tuple[str, str | None, str | None]]:
         """(part, print now, print applied) of the parts, as few as a source has loads or tables, that are not in the state as they are."""
-        met = prints.join(self.parts().withColumnRenamed("print", "former"), "part", "full")
-        return [(r.part, r.print, r.former) for r in met.where("not (print <=> former)").select("part", "print", "former").collect()]
+        now, known = {r.part: r.print for r in prints.select("part", "print").collect()}, self.parts(ledger)
+        return [(p, now.get(p), known.get(p)) for p in sorted({*now, *known}) if now.get(p) != known.get(p)]

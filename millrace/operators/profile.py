@@ -85,14 +85,15 @@ class ValueCounts(CountStore):
         A load is known by the print of its rows and its span. Loads that stand in the state as they are cost one scan
         of the profiled columns.
         """
-        changes = self.stale(load_prints(raw, loads).select(F.col("load_no").cast("string").alias("part"), "print"))
+        ledger = self.ledger()
+        changes = self.stale(load_prints(raw, loads).select(F.col("load_no").cast("string").alias("part"), "print"), ledger)
         if changes:
             changed = F.broadcast(self.spark.createDataFrame([(int(p),) for p, _, _ in changes], "load_no bigint"))  # one row a load
             deltas = [load_deltas(raw.join(changed, "load_no", "left_semi"), loads)]
             if any(former is not None for _, _, former in changes):
-                deltas.append(self.state().join(changed, "load_no", "left_semi").withColumn("n", -F.col("n")))
-            self.apply(*deltas, prints=[(p, now) for p, now, _ in changes])
-        return self.state()
+                deltas.append(self.state(ledger).join(changed, "load_no", "left_semi").withColumn("n", -F.col("n")))
+            return self.apply(*deltas, prints=[(p, now) for p, now, _ in changes], ledger=ledger)
+        return self.state(ledger)
 
 
 def load_prints(raw: DataFrame, loads: DataFrame) -> DataFrame:

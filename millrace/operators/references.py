@@ -67,14 +67,15 @@ class ReferenceCounts(CountStore):
             REFERENCED: (refs, ["chunk_id", "doc_id", "indexed_at"], reference_deltas),
         }
         prints = [_print(df.select(*columns), kind) for kind, (df, columns, _) in sources.items()]
-        changes = self.stale(prints[0].unionByName(prints[1]).unionByName(prints[2]))
+        ledger = self.ledger()
+        changes = self.stale(prints[0].unionByName(prints[1]).unionByName(prints[2]), ledger)
         if changes:
             kinds = [kind for kind, _, _ in changes]
             deltas = [sources[k][2](sources[k][0]) for k in kinds]
             if any(former is not None for _, _, former in changes):
-                deltas.append(self.state().where(F.col("kind").isin(kinds)).withColumn("n", -F.col("n")))
-            self.apply(*deltas, prints=[(kind, now) for kind, now, _ in changes])
-        return self.state()
+                deltas.append(self.state(ledger).where(F.col("kind").isin(kinds)).withColumn("n", -F.col("n")))
+            return self.apply(*deltas, prints=[(kind, now) for kind, now, _ in changes], ledger=ledger)
+        return self.state(ledger)
 
 
 def _print(df: DataFrame, part: str) -> DataFrame:
