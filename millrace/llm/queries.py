@@ -17,6 +17,10 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated(table(spark, d, "raw"), table(spark, d, "source_types"))
 
 
+def p2_lines(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines.repeated_by_line(table(spark, d, "raw"), table(spark, d, "source_types"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "chunks"), table(spark, d, "raw"))
 
@@ -74,8 +78,8 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 _SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _P2_ROWS = rf"""
 WITH alias AS (SELECT a, min(code) AS code FROM (SELECT code, upper(trim(unnest(list_prepend(code, string_split(coalesce(aliases, ''), ';'))))) AS a FROM source_types) WHERE a <> '' GROUP BY 1),
-b AS (SELECT raw_no, code, upper(trim(doc_id)) AS k, string_split(body, chr(10)) AS ls FROM raw JOIN alias ON a = upper(trim(doc_type)) WHERE code <> 'EMAIL'),
-x AS (SELECT raw_no, code, k, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM b),
+b AS (SELECT raw_no, code, upper(trim(doc_id)) AS k, string_split(body, chr(10)) AS ls, CAST(published_at AS DATE) AS pub FROM raw JOIN alias ON a = upper(trim(doc_type)) WHERE code <> 'EMAIL'),
+x AS (SELECT raw_no, code, k, pub, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM b),
 n AS (SELECT *, regexp_replace(lower(regexp_replace(line, '{_SPACE}', '', 'g')), '[0-9]+', '0', 'g') AS form FROM x),
 f AS (SELECT * FROM n WHERE form <> '' AND form NOT LIKE '|%'),
 t AS (SELECT code, count(DISTINCT k) AS docs FROM b WHERE k IS NOT NULL GROUP BY 1),
@@ -84,6 +88,7 @@ o AS (SELECT code, form FROM f JOIN t USING (code) WHERE k IS NOT NULL GROUP BY
 QUERIES = {
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p2_lines": p2_lines,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p4_found": p4_found,
@@ -101,5 +106,8 @@ SQL = {
     "p2_clean": _P2_ROWS
     + """, c AS (SELECT raw_no, string_agg(line, chr(10) ORDER BY line_no) AS body FROM n ANTI JOIN (SELECT * FROM o) o USING (code, form) GROUP BY 1)
 SELECT b.raw_no, CASE WHEN ls IS NOT NULL THEN coalesce(body, '') END AS body FROM b LEFT JOIN c USING (raw_no)""",
+    "p2_lines": _P2_ROWS
+    + """, g AS (SELECT code, form, count(DISTINCT k) FILTER (k IS NOT NULL) AS n_docs, count(DISTINCT pub) FILTER (k IS NOT NULL) AS n_dates, min((raw_no, line_no)) AS place FROM f SEMI JOIN o USING (code, form) GROUP BY 1, 2)
+SELECT code AS type_code, place[1] AS raw_no, CAST(place[2] AS INTEGER) AS line_no, n_docs, n_dates FROM g WHERE n_dates > 0""",
     "p7_roundtrip": "SELECT source, count(*) AS n_docs, CAST(0 AS BIGINT) AS n_changed FROM documents GROUP BY 1",
 }

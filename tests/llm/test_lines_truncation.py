@@ -32,6 +32,24 @@ def test_recollections_are_one_document(spark, rows):
     assert len(rows(L.repeated_cases(_raw(spark, [*data, ("M9", "NEWS", "같은 줄")]), _types(spark)))) == 24
 
 
+def test_republished_documents_are_one_cluster(spark, rows):
+    same = "옮겨 실은 글의 줄\n그 글의 다른 줄"
+    data = [(f"N{i}", "NEWS", same) for i in range(6)] + [(f"M{i}", "NEWS", f"고유한 글 {'가나다라마바사아'[i]}\n붙은 줄") for i in range(5)]
+    raw, types = _raw(spark, data), _types(spark)
+    assert {r[0] for r in rows(L.repeated_cases(raw, types))} == set(range(1, 12))
+    assert {r for r in rows(L.repeated_cases(raw, types, copies=True))} == {(i, 2) for i in range(7, 12)}
+    # keys chained by shared texts are one cluster: N0 has both texts
+    chained = _raw(spark, [("N0", "NEWS", "글 가"), ("N0", "NEWS", "글 나"), ("N1", "NEWS", "글 가"), ("N2", "NEWS", "글 나"), ("N3", "BROKER", "글 가"), (None, "NEWS", "글 나")])
+    assert len({r.cluster for r in L.clusters(L.typed_bodies(chained, types)).collect()}) == 1 and L.clusters(L.typed_bodies(chained, types)).count() == 3
+
+
+def test_publication_dates(spark, rows):
+    data = [(i, f"N{i}", "NEWS", D(2025, 1, 1 + i % 2), f"고유한 글 {'가나다라마바사아'[i]}\n붙은 줄", "x") for i in range(8)]
+    raw, types = spark.createDataFrame(data, RAW), _types(spark)
+    assert len(rows(L.repeated_cases(raw, types, least_dates=2))) == 8 and rows(L.repeated_cases(raw, types, least_dates=3)) == []
+    assert rows(L.repeated_by_line(raw, types)) == [("NEWS", 0, 2, 8, 2)]
+
+
 def test_share_of_documents(spark, rows):
     data = [(f"N{i}", "NEWS", "드문 줄" if i < 5 else f"다른 {'가나다라마바사아자차'[i % 10] * (i // 10 + 1)}") for i in range(300)]
     assert rows(L.repeated_cases(_raw(spark, data), _types(spark))) == []  # 5 of 300 is under two per cent
