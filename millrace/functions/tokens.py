@@ -47,9 +47,15 @@ def keywords(c: Column | str) -> Column:
 
 def grams(text: Column, n: int) -> Column:
     """Distinct substrings of ``n`` characters; none for a shorter text."""
-    empty = F.array().cast("array<string>")
-    pieces = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
-    return let(text, lambda t: F.when(F.length(t) < n, empty).otherwise(F.array_distinct(pieces(t))))
+    return F.array_distinct(all_grams(text, n))
+
+
+def all_grams(text: Column, n: int) -> Column:
+    """Substrings of ``n`` characters in order, repetitions kept; none for a shorter text.
+
+    A match of no width before every character that has ``n`` or more to go, so the text is walked once, not once a place.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def char_grams(c: Column | str, n: int = 3) -> Column:

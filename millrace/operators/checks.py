@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.keys import is_blank
+from millrace.operators.skew import left_join_by_state
 from millrace.sources.registry import SOURCES, required
 
 #: What a passing corpus reaches; for upper limits less is better.
@@ -181,7 +182,7 @@ def chunk_quality(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``docs`` has one row per doc_id with doc_type and title.
     """
-    met = chunks.join(docs, "doc_id", "left")
+    met = left_join_by_state(chunks.select("doc_id", "text"), docs.select("doc_id", "doc_type", "title"), "doc_id")
     per = lambda cond: F.round(F.avg(cond.cast("double")) * 100, 6)
     return met.groupBy("doc_type").agg(
         F.count(F.lit(1)).alias("n_chunks"), per(T.ends_mid_sentence("text")).alias("cut_pct"), per(T.table_suspect("text")).alias("table_pct"), per(T.noise_left("text", "doc_type")).alias("noise_pct"), per(T.has_header("text", "title")).alias("header_pct"),
@@ -190,9 +191,12 @@ def chunk_quality(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 def token_stats(chunks: DataFrame, types: DataFrame) -> DataFrame:
     """(doc_type, n, least, median, p95, most, too_long) of estimated tokens per chunk."""
-    met = chunks.select("doc_id", T.count_tokens("text").alias("t")).join(types, "doc_id", "left")
-    return met.groupBy("doc_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("t").alias("least"), F.round(F.percentile("t", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("t", F.lit(0.95)), 6).alias("p95"), F.max("t").alias("most"), F.count_if(F.col("t") > LONGEST_INPUT).alias("too_long")
+    # counts by document and number of tokens meet the types, and percentiles are taken by frequency
+    counted = chunks.select("doc_id", T.count_tokens("text").alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).join(types, "doc_id", "left")
+    by_type = counted.groupBy("doc_type", "t").agg(F.sum("n").alias("n"))
+    pct = lambda p: F.round(F.expr(f"percentile(t, {p}, n)"), 6)
+    return by_type.groupBy("doc_type").agg(
+        F.sum("n").alias("n"), F.min("t").alias("least"), pct(0.5).alias("median"), pct(0.95).alias("p95"), F.max("t").alias("most"), F.sum(F.when(F.col("t") > LONGEST_INPUT, F.col("n")).otherwise(0)).alias("too_long")
     )
 
 

@@ -39,16 +39,19 @@ def chunk_documents(typed: DataFrame, separator: str = "\n\n", id_cols: tuple[st
 
 def fixed_chunks(docs: DataFrame, size: int = 120, id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
     """(chunk_id, id, seq, text): pieces of ``size`` characters; ids end in a number of three digits from 000. Empty texts have none."""
-    n = F.length(text_col)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size)))
-    pieces = docs.where(n > 0).select(id_col, text_col, F.posexplode(starts).alias("seq", "at"))
-    number = F.format_string("%03d", "seq")
-    return pieces.select(F.concat(F.col(id_col).cast("string"), F.lit("_"), number).alias("chunk_id"), id_col, "seq", F.substring(F.col(text_col), F.col("at") + 1, F.lit(size)).alias("text"))
+    # one pass over the text, whatever its length: a match is up to ``size`` characters of any kind, characters beyond 16 bits too
+    cut_up = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+    pieces = docs.where(F.length(text_col) > 0).select(id_col, F.posexplode(cut_up).alias("seq", "text"))
+    return pieces.select(F.concat(F.col(id_col).cast("string"), F.lit("_"), F.format_string("%03d", "seq")).alias("chunk_id"), id_col, "seq", "text")
 
 
 def rechunk_comparison(typed: DataFrame, chunks: DataFrame, types: DataFrame) -> DataFrame:
     """(doc_type, n_now, median_now, n_rule, median_rule): stored chunks against those that the rule of the type would make."""
-    now = chunks.join(types, "doc_id", "left").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_now"), F.round(F.percentile(F.length("text"), F.lit(0.5)), 6).alias("median_now"))
-    rule = chunk_documents(typed).groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_rule"), F.round(F.percentile(F.length("text"), F.lit(0.5)), 6).alias("median_rule"))
+    # lengths are counted per document, or per type, before anything is joined or sorted
+    stored = chunks.groupBy("doc_id", F.length("text").alias("chars")).agg(F.count(F.lit(1)).alias("n")).join(types, "doc_id", "left").groupBy("doc_type", "chars").agg(F.sum("n").alias("n"))
+    made = chunk_documents(typed).groupBy("doc_type", F.length("text").alias("chars")).agg(F.count(F.lit(1)).alias("n"))
+    median = F.round(F.expr("percentile(chars, 0.5, n)"), 6)
+    now = stored.groupBy("doc_type").agg(F.sum("n").alias("n_now"), median.alias("median_now"))
+    rule = made.groupBy("doc_type").agg(F.sum("n").alias("n_rule"), median.alias("median_rule"))
     met = now.withColumn("k", F.coalesce("doc_type", F.lit(""))).drop("doc_type").join(rule.withColumn("k", F.coalesce("doc_type", F.lit(""))).drop("doc_type"), "k", "full")
     return met.select(F.nullif("k", F.lit("")).alias("doc_type"), "n_now", "median_now", "n_rule", "median_rule")

@@ -60,9 +60,7 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = TOP, tokenize: Callable
 def features(text: Column | str) -> Column:
     """Stems of a text, and its 3-grams of characters in lower case, repetitions kept."""
     column = F.col(text) if isinstance(text, str) else text
-    empty = F.array().cast("array<string>")
-    cut_up = lambda t: F.when(F.length(t) < 3, empty).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))
-    return F.concat(K.stems(column), K.let(F.lower(F.coalesce(column, F.lit(""))), cut_up))
+    return F.concat(K.stems(column), K.all_grams(F.lower(F.coalesce(column, F.lit(""))), 3))
 
 
 def hashed_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

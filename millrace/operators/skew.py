@@ -23,10 +23,11 @@ def left_join_by_state(big: DataFrame, state: DataFrame, key: str, one_in: int =
     """``big`` left-joined with ``state`` (at most one row a key) without a hot reduce task.
 
     Rows of hot keys meet a broadcast of the hot keys' states, which has fewer than ``one_in`` rows whatever the
-    input holds; only the other rows are shuffled by key. Null keys keep null state columns.
+    input holds; only the other rows are shuffled by key. Null keys meet nothing, so they are not shuffled either; their
+    state columns are null.
     """
     hot = F.broadcast(hot_keys(big, key, one_in))
     marked = big.join(hot.withColumn("__hot", F.lit(True)), key, "left")
     hot_side = marked.where("__hot").drop("__hot").join(F.broadcast(state.join(hot, key, "left_semi")), key, "left")
-    cold_side = marked.where("__hot is null").drop("__hot").join(state, key, "left")
-    return hot_side.unionByName(cold_side)
+    cold_side = marked.where(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot").join(state, key, "left")
+    return hot_side.unionByName(cold_side).unionByName(big.where(F.col(key).isNull()), allowMissingColumns=True)

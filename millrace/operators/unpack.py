@@ -30,8 +30,8 @@ BRACKETS = {"[": "]", "{": "}", "(": ")", "<": ">", "【": "】"}
 LIST_NUMBER = re.compile(r"^\s*(?:\(?\d{1,3}[.)]|[-*•])\s+(?=\S)")
 #: Bits: for naming a delimiter of a dialect, for ending an item, and for a character of a shape never seen.
 DELIMITER_BITS, ITEM_BITS, UNSEEN_BITS = 3.0, 1.0, 6.5
-#: With more kinds of delimiter than this in one field, single delimiters, pairs, and all but one are tried.
-ALL_SUBSETS = 6
+#: Characters of parses that a worker holds before it hands them on.
+HELD_CHARS = 8_000_000
 
 
 def shape(item: str) -> str:
@@ -87,13 +87,10 @@ def parse(field: str, delimiters: tuple[str, ...], quoting: bool) -> list[str]:
 
 
 def dialects(field: str) -> list[tuple[tuple[str, ...], bool]]:
-    """Every dialect that the characters of ``field`` allow."""
+    """Every dialect that the characters of ``field`` allow: all subsets of the delimiters present, of which there are eleven kinds at most."""
     inner = _outer(field)
     present = [d for d, p in DELIMITERS.items() if re.search(p, inner)]
-    if len(present) <= ALL_SUBSETS:
-        chosen = [c for n in range(len(present) + 1) for c in combinations(present, n)]
-    else:
-        chosen = [(), tuple(present), *((d,) for d in present), *combinations(present, 2), *(tuple(x for x in present if x != d) for d in present)]
+    chosen = [c for n in range(len(present) + 1) for c in combinations(present, n)]
     has_quotes = any(q in inner for q in QUOTES)
     return [(c, q) for c in chosen for q in ((False, True) if has_quotes and c else (False,))]
 
@@ -102,16 +99,21 @@ def _parses(fields: DataFrame) -> DataFrame:
     """(field, dialect, n_delims, items) for every field and each of its dialects."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["field", "dialect", "n_delims", "items", "shapes"]
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for field in batch["field"]:
                 seen = set()
                 for delimiters, quoting in dialects(field):
                     items = tuple(parse(field, delimiters, quoting))
-                    if items not in seen:  # dialects come with few delimiters first, so the cheapest name is kept
-                        seen.add(items)
+                    if hash(items) not in seen:  # dialects come with few delimiters first, so the cheapest name is kept
+                        seen.add(hash(items))
                         rows.append((field, "+".join(delimiters) + ("/quoted" if quoting else ""), len(delimiters), list(items), [shape(x) for x in items]))
-            yield pd.DataFrame(rows, columns=["field", "dialect", "n_delims", "items", "shapes"])
+                        held += 3 * len(field)
+                        if held > HELD_CHARS:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return fields.mapInPandas(run, "field string, dialect string, n_delims int, items array<string>, shapes array<string>")
 
@@ -125,7 +127,9 @@ def unpack(df: DataFrame, id_col: str, packed_col: str, item_col: str = "item")
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(packed_col).alias("field"))
     fields = rows.where(F.trim("field") != "").groupBy("field").agg(F.count(F.lit(1)).alias("weight"))
-    parses = cut(_parses(fields.select("field")), "parses")  # parsed once, read three times
+    # parsed once, read three times; a fixed number of partitions, since a small table takes long to parse
+    spread = fields.select("field").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "field")
+    parses = cut(_parses(spread), "parses")
     shaped = parses.select("field", "dialect", "n_delims", F.posexplode("shapes").alias("pos", "shape"))
     # a field whose only parse has no delimiter names its shape beyond doubt
     sure = parses.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.max("n_delims").alias("most"), F.first("shapes").alias("shapes")).where("n = 1 and most = 0")
