@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,7 +18,10 @@ from millrace.session import cut
 
 PERMUTATIONS, BANDS, SIMILARITY, SHINGLE_WORDS = 64, 16, 0.8, 5
 _PRIME = 2**31 - 1
-ROUNDS = 40
+#: Shingles whose hash a worker remembers.
+KNOWN_SHINGLES = 1_000_000
+#: Texts of one bucket that one task compares with the bucket; larger buckets are split.
+BUCKET_PART = 1000
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
@@ -51,14 +57,24 @@ def seeded_coefficients(n: int = PERMUTATIONS, seed: int = 1) -> tuple[np.ndarra
     return rng.randint(1, _PRIME, n, dtype=np.int64), rng.randint(0, _PRIME, n, dtype=np.int64)
 
 
-def char_signature(text: str, a: np.ndarray, b: np.ndarray, size: int = 5) -> np.ndarray:
-    """MinHash over the character shingles of a text: md5, first 32 bits, (a * h + b) mod (2^31 - 1), least per permutation."""
-    import hashlib
-    import re
-
+def shingle_hashes(text: str, size: int = 5, known: dict[str, int] | None = None) -> np.ndarray:
+    """First 32 bits of the md5 of each distinct character shingle; ``known`` keeps those of former texts."""
     t = re.sub(r"\s+", " ", text or "")
-    shingles = {t[i : i + size] for i in range(max(1, len(t) - size + 1))}
-    h = np.fromiter((int(hashlib.md5(s.encode(), usedforsecurity=False).hexdigest()[:8], 16) for s in shingles), np.int64, len(shingles))
+    known = {} if known is None else known
+    if len(known) > KNOWN_SHINGLES:
+        known.clear()
+    out = []
+    for s in {t[i : i + size] for i in range(max(1, len(t) - size + 1))}:
+        h = known.get(s)
+        if h is None:
+            h = known[s] = int.from_bytes(hashlib.md5(s.encode(), usedforsecurity=False).digest()[:4], "big")
+        out.append(h)
+    return np.array(out, np.int64)
+
+
+def char_signature(text: str, a: np.ndarray, b: np.ndarray, size: int = 5, known: dict[str, int] | None = None) -> np.ndarray:
+    """MinHash over the character shingles of a text: md5, first 32 bits, (a * h + b) mod (2^31 - 1), least per permutation."""
+    h = shingle_hashes(text, size, known)
     out = np.full(len(a), _PRIME, np.int64)
     for i in range(0, len(h), 4096):  # bounded memory for very long texts
         np.minimum(out, ((h[i : i + 4096, None] * a + b) % _PRIME).min(0), out=out)
@@ -71,61 +87,88 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int = PERMUTATION
     a, b = seeded_coefficients(n, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "sig": [char_signature(t, a, b) for t in pdf[text_col]]})
+            yield pd.DataFrame({id_col: pdf[id_col], "sig": [char_signature(t, a, b, known=known) for t in pdf[text_col]]})
 
     return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, sig array<bigint>")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", threshold: float = SIMILARITY, bands: int = BANDS, n: int = PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
-    """Near duplicates as (links, members).
+@dataclass(frozen=True)
+class Near:
+    """Near duplicates by heads: the least ids of the texts of one signature, one of each text's exact copies.
 
-    links (id_a, id_b, similarity): every pair of different texts, each under the least id of its exact copies, whose
-    share of equal signature slots reaches ``threshold``. members (id, class_id): one row per document, its class being
-    the least id that links reach.
+    heads (id, head): every different text under the least id of its copies. head_links (id_a, id_b, similarity): every
+    pair of heads that reaches the threshold. members (id, class_id): one row per document.
+    """
 
-    Exact copies are collapsed first. Of the texts of one signature a head is compared in the bands, each pair of heads
-    once; its links then hold for every text of its signature, and those texts are linked to each other at 1.0. Ids are
-    cast to strings.
+    heads: DataFrame
+    head_links: DataFrame
+    members: DataFrame
+
+    def links(self) -> DataFrame:
+        """(id_a, id_b, similarity): every pair of different texts, those of one signature at 1.0; as many rows as there are links."""
+        of_a, of_b = self.heads.select(F.col("id").alias("a"), F.col("head").alias("id_a")), self.heads.select(F.col("id").alias("b"), F.col("head").alias("id_b"))
+        across = self.head_links.join(of_a, "id_a").join(of_b, "id_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
+        several = self.heads.where("id <> head").select("head").distinct()
+        alike = self.heads.join(several, "head", "left_semi")
+        within = alike.select("head", F.col("id").alias("id_a")).join(alike.select("head", F.col("id").alias("id_b")), "head").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
+        return across.unionByName(within)
+
+    def link_counts(self) -> DataFrame:
+        """(id, n_links) of every different text, counted over heads without making the links."""
+        sizes = self.heads.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
+        both = self.head_links.select(F.col("id_a").alias("head"), F.col("id_b").alias("other")).unionByName(self.head_links.select(F.col("id_b").alias("head"), F.col("id_a").alias("other")))
+        far = both.join(sizes.withColumnRenamed("head", "other"), "other").groupBy("head").agg(F.sum("size").alias("far"))
+        return self.heads.join(sizes, "head").join(far, "head", "left").select("id", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+
+
+def near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", threshold: float = SIMILARITY, bands: int = BANDS, n: int = PERMUTATIONS) -> Near:
+    """Near duplicates by the share of equal slots of MinHash signatures, see ``Near``.
+
+    Exact copies are collapsed by hash, ids only; a text is fetched once for its signature. Of the texts of one signature
+    a head is compared in the bands. A bucket of more than ``BUCKET_PART`` heads is split, so its pairs are spread over
+    tasks; none is left out. Ids are cast to strings; null ids are left out, a null text counts as empty.
     """
     ids = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    hashed = ids.withColumn("h", F.sha2(strip(F.coalesce("text", F.lit(""))), 256))
-    reps = cut(hashed.groupBy("h").agg(F.min_by(F.struct("id", "text"), "id").alias("r")).select(F.col("r.id").alias("id"), "h", F.col("r.text").alias("text")), "reps")
-    signed = signatures(reps, "id", "text", n)
-    # texts with one signature are one class: their least id stands for them in the bands
-    by_sig = cut(signed.select("id", "sig", F.md5(F.array_join("sig", ",")).alias("s")), "sigs")
+    hashed = ids.select("id", F.sha2(strip(F.coalesce("text", F.lit(""))), 256).alias("h"), "text")
+    copies = cut(hashed.select("id", "h"), "text-hashes")
+    reps = copies.groupBy("h").agg(F.min("id").alias("id"))
+    # an id that stands for several texts has a signature of each, and the least one counts
+    signed = signatures(hashed.join(reps, ["id", "h"], "left_semi").select("id", "text"), "id", "text", n)
+    by_sig = cut(signed.select("id", "sig", F.md5(F.array_join("sig", ",")).alias("s")).groupBy("id").agg(F.min(F.struct("s", "sig")).alias("x")).select("id", "x.*"), "sigs")
     heads = by_sig.groupBy("s").agg(F.min("id").alias("head"), F.min_by("sig", "id").alias("sig"))
     rows = n // bands
     banded = heads.select("head", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("sig", i * rows + 1, rows)).alias("bucket")))).alias("b")).select("head", "sig", "b.*")
     # buckets of one head pair with nothing
-    shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "bucket")
-    keyed = banded.join(shared, ["band", "bucket"], "left_semi")
-    left = keyed.select("band", "bucket", F.col("head").alias("id_a"), F.col("sig").alias("sig_a"))
-    right = keyed.select("band", "bucket", F.col("head").alias("id_b"), F.col("sig").alias("sig_b"))
-    met = left.join(right, ["band", "bucket"]).where("id_a < id_b")
+    shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    keyed = banded.join(shared, ["band", "bucket"]).withColumn("parts", F.ceil(F.col("size") / BUCKET_PART).cast("int"))
+    left = keyed.select("band", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("head").alias("id_a"), F.col("sig").alias("sig_a"))
+    right = keyed.select("band", "bucket", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int").alias("part"), F.col("head").alias("id_b"), F.col("sig").alias("sig_b"))
+    met = left.join(right, ["band", "bucket", "part"]).where("id_a < id_b")
     alike = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e)) / F.lit(float(n))
     head_links = cut(met.withColumn("similarity", alike).where(F.col("similarity") >= threshold).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity")), "links")
     to_head = cut(by_sig.select("id", "s").join(heads.select("s", "head"), "s").select("id", "head"), "heads")
-    # a link of two heads is one of every two texts of their signatures
-    of_a, of_b = to_head.select(F.col("id").alias("a"), F.col("head").alias("id_a")), to_head.select(F.col("id").alias("b"), F.col("head").alias("id_b"))
-    across = head_links.join(of_a, "id_a").join(of_b, "id_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
-    several = to_head.where("id <> head").select("head").distinct()
-    alike_all = to_head.join(several, "head", "left_semi")
-    within = alike_all.select("head", F.col("id").alias("id_a")).join(alike_all.select("head", F.col("id").alias("id_b")), "head").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
-    links = across.unionByName(within)
     components = connected(head_links.select("id_a", "id_b"))
     classed = to_head.join(components.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("class_id", "head").alias("class_id"))
-    members = hashed.select("id", "h").join(reps.select(F.col("id").alias("rep"), "h"), "h").join(classed.withColumnRenamed("id", "rep"), "rep").select("id", "class_id")
-    return links, members
+    members = copies.join(reps.select(F.col("id").alias("rep"), "h"), "h").join(classed.withColumnRenamed("id", "rep"), "rep").select("id", "class_id")
+    return Near(to_head, head_links, members)
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", threshold: float = SIMILARITY, bands: int = BANDS, n: int = PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
+    """The links and members of ``near``."""
+    found = near(docs, id_col, text_col, threshold, bands, n)
+    return found.links(), found.members
 
 
 def connected(links: DataFrame) -> DataFrame:
     """(id, class_id): the least id of each connected component, by alternating large-star and small-star rounds.
 
-    Each round is two joins over the links that are left; lineage is cut after each. Isolated ids have no row.
+    Each round is two joins over the links that are left; lineage is cut after each. Rounds go on until the links stand
+    still, which takes about as many as the logarithm of the longest chain. Isolated ids have no row.
     """
     edges = cut(links.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(ROUNDS):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

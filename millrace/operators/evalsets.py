@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import tokens as K
 from millrace.operators.dedup import question_key
+from millrace.session import cut
 
 ACCEPTED = ["채택", "수정 후 채택"]
 FOUND, NO_DOCUMENT, HOLD = "근거 확보", "문서 없음", "보류"
@@ -59,8 +60,11 @@ def duplicate_queries(links: DataFrame, docs: DataFrame, n: int = 100, seed: int
 
 
 def synthetic_queries(docs: DataFrame, ask: Callable[[str], str], n: int = 100, seed: int = 7, least: int = 120) -> DataFrame:
-    """Questions that the injected ``ask(chunk text)`` writes on the executors; too short, too long and copied ones are dropped, failures skipped."""
-    pool = docs.where(F.length("text") >= least).withColumn("o", shuffled("chunk_id", seed=seed)).orderBy("o").limit(3 * n)
+    """Questions that the injected ``ask(chunk text)`` writes on the executors; too short, too long and copied ones are dropped, failures skipped.
+
+    Chunks are asked in a fixed random order, some at a time, until ``n`` questions are accepted or no chunk is left.
+    """
+    texts = docs.where(F.length("text") >= least).withColumn("o", shuffled("chunk_id", seed=seed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -72,9 +76,19 @@ def synthetic_queries(docs: DataFrame, ask: Callable[[str], str], n: int = 100,
                     asked.append("")
             yield pdf.assign(question=asked)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in pool.dtypes) + ", question string"
-    made = pool.mapInPandas(run, schema).withColumn("question", F.regexp_replace("question", r"^[-*0-9.\s]+", ""))
-    kept = made.where(F.length("question").between(8, 120)).where(K.coverage("question", "text") <= 0.6)
+    schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes) + ", question string"
+    kept, n_kept, last = None, 0, None
+    while n_kept < n:
+        pool = cut((texts if last is None else texts.where(F.struct("o", "chunk_id") > F.struct(F.lit(last[0]), F.lit(last[1])))).orderBy("o", "chunk_id").limit(3 * n), "pool")
+        last = pool.agg(F.max(F.struct("o", "chunk_id")).alias("m")).first().m
+        if last is None:
+            break
+        made = pool.mapInPandas(run, schema).withColumn("question", F.regexp_replace("question", r"^[-*0-9.\s]+", ""))
+        fit = cut(made.where(F.length("question").between(8, 120)).where(K.coverage("question", "text") <= 0.6), "asked")
+        kept = fit if kept is None else kept.unionByName(fit)
+        n_kept += fit.count()
+    if kept is None:
+        kept = texts.limit(0).withColumn("question", F.lit(""))
     rows = kept.select("question", F.lit("synthetic").alias("q_type"), F.lit("mid").alias("level"), F.col("doc_id").alias("gold_doc_ids"), F.substring("text", 1, 200).alias("gold_text"), F.col("chunk_id").alias("src_chunk"), "o")
     return _numbered(rows, "S", ["o", "src_chunk"], n).select("qid", *EVAL_COLUMNS)
 

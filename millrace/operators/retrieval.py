@@ -37,19 +37,25 @@ def top(scored: DataFrame, k: int, group: str = "qid", item: str = "chunk_id") -
 
 def postings(docs: DataFrame, tokenize: Callable[[str], Column] = K.words) -> DataFrame:
     """(token, chunk_id, tf, len): the inverted index."""
-    listed = docs.select("chunk_id", tokenize("text").alias("toks"))
+    return postings_of(docs.select("chunk_id", tokenize("text").alias("toks")))
+
+
+def postings_of(listed: DataFrame) -> DataFrame:
+    """The inverted index of (chunk_id, toks)."""
     return listed.select("chunk_id", F.size("toks").alias("len"), F.explode("toks").alias("token")).groupBy("token", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, questions: DataFrame, k: int = TOP, tokenize: Callable[[str], Column] = K.words, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 over the distinct tokens of each question; idf = ln(1 + (N - df + 0.5) / (df + 0.5)), mean length over all chunks.
 
-    Only postings of tokens that some question has take part in the shuffle.
+    The tokens of every chunk are written once and read for the sizes and the postings. Only postings of tokens that
+    some question has take part in the shuffle.
     """
-    sizes = docs.select(F.size(tokenize("text")).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg")).first()
+    listed = cut(docs.select("chunk_id", tokenize("text").alias("toks")), "tokens")
+    sizes = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("toks")), F.lit(0.0)).alias("avg")).first()
     n, avg = sizes["n"], sizes["avg"] or 1.0
     asked = questions.select("qid", F.explode(F.array_distinct(tokenize("question"))).alias("token"))
-    held = postings(docs, tokenize).join(asked.select("token").distinct(), "token", "left_semi")
+    held = postings_of(listed).join(asked.select("token").distinct(), "token", "left_semi")
     df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg))))
@@ -113,42 +119,41 @@ def hashed_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dense(vectors: DataFrame, asked: DataFrame, k: int = TOP, id_col: str = "chunk_id", vec_col: str = "vec") -> DataFrame:
     """(qid, rank, id, score): the stored vectors of greatest dot product with each question vector, no floor.
 
-    ``asked``: (qid, vec), a stated set of questions. It is taken to the workers in blocks of ``BLOCK`` vectors; each
-    worker multiplies an Arrow batch with a block and keeps the batch's best ``k`` per question, so what is shuffled is
-    k rows per question and batch.
+    ``asked``: (qid, vec), a stated set of questions. It is written to the shared folder, and the workers read it block
+    by block: each Arrow batch of the corpus meets every block and keeps its best ``k`` per question. So the corpus is
+    scanned once, neither the driver nor a worker holds more than a block of ``BLOCK`` questions, and what is shuffled is
+    k rows per question and batch. Null vectors take no part.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
-    ordered = asked.select(F.col("qid").cast("string").alias("qid"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null").orderBy("qid")
-    blocks: list[DataFrame] = []
+    questions = cut(asked.select(F.col("qid").cast("string").alias("qid"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null"), "question-vectors")
+    files, size = questions.inputFiles(), BLOCK
+
+    def blocks() -> Iterator[tuple[list[str], np.ndarray]]:
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
 
-    def block_of(rows: list) -> DataFrame:
-        names = [r.qid for r in rows]
-        q = np.array([r.vec for r in rows], float)
+        for name in files:
+            system, path = fs.FileSystem.from_uri(name)
+            with system.open_input_file(path) as opened:
+                for part in pq.ParquetFile(opened).iter_batches(size):
+                    yield part.column("qid").to_pylist(), np.array(part.column("vec").to_pylist(), float)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids = pdf[id_col].to_numpy()
+            order = np.argsort(ids, kind="stable")  # equal scores: lesser id first
+            ids, stored = ids[order], np.stack(pdf[vec_col].to_numpy()).astype(float)[order]
+            for names, q in blocks():
+                if not names:
                     continue
-                ids = pdf[id_col].to_numpy()
-                scores = np.round(np.stack(pdf[vec_col].to_numpy()).astype(float) @ q.T, 6)
-                order = np.argsort(ids, kind="stable")  # equal scores: lesser id first
-                ids, scores = ids[order], scores[order]
+                scores = np.round(stored @ q.T, 6)
                 best = np.argsort(-scores, axis=0, kind="stable")[:k]
                 yield pd.DataFrame({"qid": np.repeat(names, len(best)), id_col: ids[best.T.ravel()], "score": np.take_along_axis(scores, best, 0).T.ravel()})
 
-        return vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).mapInPandas(run, f"qid string, `{id_col}` {kind}, score double")
-
-    rows: list = []
-    for row in ordered.toLocalIterator():  # one block in the driver's memory at a time
-        rows.append(row)
-        if len(rows) == BLOCK:
-            blocks.append(block_of(rows))
-            rows = []
-    if rows:
-        blocks.append(block_of(rows))
-    if not blocks:
-        return vectors.sparkSession.createDataFrame([], f"qid string, `{id_col}` {kind}, score double, rank int")
-    return top(reduce(DataFrame.unionByName, blocks), k, item=id_col)
+    scored = vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).mapInPandas(run, f"qid string, `{id_col}` {kind}, score double")
+    return top(scored, k, item=id_col)
 
 
 def sparse_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -99,10 +99,8 @@ def first_per_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, d: str) -> DataFrame:
-    links, members = D.near_classes(table(spark, d, "documents"), "doc_id", "text")
-    both = links.select(F.col("id_a").alias("id")).unionByName(links.select(F.col("id_b").alias("id")))
-    n = both.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(n, "id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = D.near(table(spark, d, "documents"), "doc_id", "text")
+    return found.members.join(found.link_counts(), "id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def republished(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import io
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from millrace.functions.keys import type_aliases
@@ -62,17 +66,11 @@ def read_jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, i
 def read_table(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
     """A delimited file or a workbook; delimited files that are not UTF-8 are read as CP949. Nulls become empty strings for text columns."""
     if path.endswith((".xlsx", ".xls")):
-        import pandas as pd
-
         pdf = pd.read_excel(path, **options).dropna(how="all")
         return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None))
     encoding = options.pop("encoding", None) or _encoding(spark, path)
     if encoding.lower() not in ("utf-8", "utf-16", "us-ascii", "iso-8859-1"):
-        # spreadsheet exports in other encodings are small files; the engine's reader has only the encodings above
-        import pandas as pd
-
-        found = [pd.read_csv(io.BytesIO(bytes(r.content)), encoding=encoding, dtype=str, keep_default_na=False, sep=options.get("sep", ",")) for r in spark.read.format("binaryFile").load(path).select("content").toLocalIterator()]
-        return spark.createDataFrame(pd.concat(found, ignore_index=True), schema) if schema else spark.createDataFrame(pd.concat(found, ignore_index=True))
+        return _decoded(spark, path, encoding, options.get("sep", ","), schema)
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).options(**options)
     df = reader.csv(path, schema=schema) if schema else reader.csv(path)
     first = df.columns[0]
@@ -80,15 +78,26 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, **opti
 
 
 def _encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 where the first bytes of the file are, else CP949."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65_536)).first()[0])
-    for cut in range(4):  # a character may be cut at the end of the sample
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "cp949"
+    """UTF-8 where every line of the files is, else CP949; the lines are checked where they lie."""
+    return "cp949" if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
+
+
+def _decoded(spark: SparkSession, path: str, encoding: str, sep: str, schema: str | None) -> DataFrame:
+    """Delimited files in an encoding that the engine's reader lacks: each is parsed on an executor, a block of lines at a time.
+
+    The files share one header; it alone comes to the driver.
+    """
+    head = bytes(spark.read.text(path).select(F.col("value").cast("binary").alias("v")).first().v).decode(encoding)
+    names = next(csv.reader([head.lstrip("\ufeff")], delimiter=sep))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                for part in pd.read_csv(io.BytesIO(bytes(content)), encoding=encoding, dtype=str, keep_default_na=False, sep=sep, chunksize=20_000):
+                    yield part.set_axis(names, axis=1)
+
+    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"`{n}` string" for n in names))
+    return text.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema))) if schema else text
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None) -> DataFrame:

@@ -38,3 +38,14 @@ def test_very_long_field(spark):
     field = ";".join(f"N{i:08d}" for i in range(5000))
     got = U.unpack(spark.createDataFrame([(1, field), (2, "N00000001")], "id int, packed string"), "id", "packed")
     assert got.where("id = 1").count() == 5000
+
+
+def test_a_field_with_more_than_six_kinds_of_delimiter(spark):
+    # the true dialect is three of the eight kinds present: no single one, no pair, not all but one
+    field = "N00000001;B 0/0·0+1&2|x|;E00000003,I00000006"
+    kinds = {d for c, _ in U.dialects(field) for d in c}
+    chosen = {frozenset(c) for c, _ in U.dialects(field)}
+    assert len(kinds) > 6 and len(chosen) == 2 ** len(kinds)
+    got = U.unpack(spark.createDataFrame([(i, v) for i, v in enumerate([*SINGLES, *["B 0/0·0+1&2|x|"] * 9, field])], "id int, packed string"), "id", "packed")
+    last = len(SINGLES) + 9
+    assert [r.item for r in got.where(f"id = {last}").orderBy("item_pos").collect()] == ["N00000001", "B 0/0·0+1&2|x|", "E00000003", "I00000006"]
