@@ -15,8 +15,8 @@ EMAIL_NOTICE = [r"본 메일은.*", r"This e-?mail.*confidential.*"]
 #: How a whole sentence or label ends.
 WHOLE_END = r"([.!?。…]|다|요|음|함|임|됨|중|것|\)|\]|%|원|EB|달러)\s*$"
 #: Figures with units, unique codes.
-NUMBER = r"[0-9][0-9,\.]*\s*(?:%|원|달러|억|조|배|EB|TB|GB|bp|나노|단)"
-UNIQUE = r"([A-Z]{2,}[-_]?[0-9]+|[0-9][0-9,\.]{2,}\s*(?:%|억|조|EB|TB|GB|달러|원)?|[A-Z]{3,})"
+NUMBER = r"\d[\d,\.]*\s*(?:%|원|달러|억|조|배|EB|TB|GB|bp|나노|단)"
+UNIQUE = r"([A-Z]{2,}[-_]?\d+|\d[\d,\.]{2,}\s*(?:%|억|조|EB|TB|GB|달러|원)?|[A-Z]{3,})"
 REPEATED_LEAST, REPEATED_LONGEST = 2, 60
 
 
@@ -101,7 +101,7 @@ def ends_mid_sentence(c: Column | str) -> Column:
 
 def table_suspect(c: Column | str) -> Column:
     """Three lines or more in a row with two figures each, under 60 characters and without a bar: a table without delimiters."""
-    row = lambda x: (F.regexp_count(x, F.lit(r"[0-9]+(?:\.[0-9]+)?%?")) >= 2) & (F.length(x) < 60) & ~F.contains(x, F.lit("|"))
+    row = lambda x: (F.regexp_count(x, F.lit(r"\d+(?:\.\d+)?%?")) >= 2) & (F.length(x) < 60) & ~F.contains(x, F.lit("|"))
     marks = F.array_join(F.transform(lines(c), lambda x: F.when(row(x), "1").otherwise("0")), "")
     return F.contains(marks, F.lit("111"))
 
@@ -110,7 +110,7 @@ def has_header(c: Column | str, title: Column | str) -> Column:
     """A date or the first eight characters of the title within the first 120 characters."""
     start = F.substring(_c(c), 1, 120)
     head = F.substring(_c(title), 1, 8)
-    return start.rlike(r"20[0-9][0-9][-./][0-9]{1,2}") | ((head != "") & F.contains(start, head))
+    return start.rlike(r"20\d\d[-./]\d{1,2}") | ((head != "") & F.contains(start, head))
 
 
 def build_header(kind: Column | str, at: Column | str, org: Column | str, title: Column | str, section: Column | None = None) -> Column:

@@ -7,15 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters, digits, underscore, per cent and full stop, over all scripts.
+#: The characters of a word: letters, digits, underscore, per cent and full stop, over all scripts.
 WORD = r"[\p{L}\p{N}_%.]+"
-#: Words that overlap measures compare: Hangul, Latin letters and digits, two or more.
+#: Words that overlap measures compare: Hangul, Latin letters and digits, two or more.
 KEYWORD = "[가-힣A-Za-z0-9]{2,}"
 #: Korean particles, longer ones first, taken off the end of a token.
-PARTICLES = (
-    "으로부터 에서부터 이라고 에게서 으로서 으로써 에서 에게 께서 부터 까지 마저 조차 처럼 보다 이나 이며 이고 으로 하고 "
-    "의 는 은 이 가 을 를 에 로 와 과 도 만 나 랑 며"
-).split()
+PARTICLES = ["으로부터", "에서부터", "이라고", "에게서", "으로서", "으로써", "에서", "에게", "께서", "부터", "까지", "마저", "조차", "처럼", "보다", "이나", "이며", "이고", "으로", "하고", "의", "는", "은", "이", "가", "을", "를", "에", "로", "와", "과", "도", "만", "나", "랑", "며"]
 #: Words that required elements are not judged by.
 ELEMENT_STOP_WORDS = ["또는", "제시", "표기", "수치", "내용"]
 
@@ -123,4 +120,5 @@ TOKENIZERS: dict[str, Callable[[Column | str], Column]] = {"space": words, "josa
 
 
 def tokenizer(name: str) -> Callable[[Column | str], Column]:
-    return TOKENIZERS[name]
+    """The tokenizer of that name; an unknown name gives plain words."""
+    return TOKENIZERS.get(name, words)

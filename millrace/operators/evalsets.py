@@ -18,6 +18,7 @@ FOUND, NO_DOCUMENT, HOLD = "근거 확보", "문서 없음", "보류"
 UNANSWERABLE = "답없음"
 #: Wanted shares of question types.
 TARGET_MIX = {"사실": 0.30, "수치": 0.25, "종합": 0.15, "기간": 0.10, "비교": 0.10, "답없음": 0.10}
+#: Words that point at a text that the reader of a question does not see.
 DEICTIC = "(이 문서|위 자료|본 자료|해당 문서|아래 표|위 표)"
 #: Acceptance limits of the automatic sets, (set, metric, operator, limit).
 LIMITS = [("known-item", "recall_5", ">=", 0.95), ("known-item", "recall_1", ">=", 0.80), ("title", "recall_5", ">=", 0.90), ("dup-pair", "recall_10", ">=", 0.70), ("synthetic", "recall_5", ">=", 0.80), ("synthetic", "mrr", ">=", 0.60)]
@@ -141,6 +142,7 @@ def parse_item(answer: str) -> Column:
 
 def unanswerable(spark, n: int = 6) -> DataFrame:
     """Questions that no document answers, by template; gold ids are blank."""
+    # fixed values: the templates
     base = ["보유 자료에 없는 기간의 월별 수치를 묻는 질문", "보유 자료에 없는 업체의 실적을 묻는 질문", "보유 자료에 없는 지표의 전망을 묻는 질문"]
     pick = F.get(F.array(*map(F.lit, base)), (F.col("id") % 3).cast("int"))
     return spark.range(n).select(F.concat(F.lit("N"), F.lpad((F.col("id") + 1).cast("string"), 4, "0")).alias("qid"), F.concat(pick, F.lit(" (변형 "), (F.col("id") + 1).cast("string"), F.lit(")")).alias("question"), F.lit("확인된 자료 없음").alias("gold_answer"), F.lit("").alias("gold_text"), F.lit(UNANSWERABLE).alias("q_type"), F.lit("mid").alias("level"), F.lit("").alias("gold_doc_ids"), F.lit("").alias("src_chunk"))

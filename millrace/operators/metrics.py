@@ -13,9 +13,9 @@ KS = (1, 3, 5, 10)
 JUDGED, GROUNDED, ELEMENT = 0.5, 0.30, 0.25
 #: What shows a figure, a period, a citation, caution or a refusal in an answer.
 PATTERNS = {
-    "has_number": r"[0-9][0-9,\.]*\s*(?:%|원|달러|USD|EB|TB|GB|억|조|배|bp|p)?",
-    "has_period": r"(20[0-9]{2}\s*년|[0-9]\s*분기|[1-4]Q\s*[0-9]{0,2}|[0-9]{1,2}\s*월|상반기|하반기|전년|전분기|전월)",
-    "has_citation": r"\[([0-9]+|DB)[^\]]*\]",
+    "has_number": r"\d[\d,\.]*\s*(?:%|원|달러|USD|EB|TB|GB|억|조|배|bp|p)?",
+    "has_period": r"(20\d{2}\s*년|\d\s*분기|[1-4]Q\s*\d{0,2}|\d{1,2}\s*월|상반기|하반기|전년|전분기|전월)",
+    "has_citation": r"\[(\d+|DB)[^\]]*\]",
     "has_hedge": r"(전망|추정|예상|가능성|것으로 보|로 추정|전망치)",
     "refused": r"(확인된 자료 없음|자료가 없|확인 불가|알 수 없|제공되지 않)",
 }

@@ -11,10 +11,10 @@ from pyspark.sql.utils import ParseException
 
 MAX_ROWS = 200
 #: Words that ask for figures, for explanations, and for what must not be answered.
-NUMBER_WORDS = "얼마 몇 수치 합계 총 평균 최대 최소 추이 증감 변동 비중 점유율 대비 전월 전년 전분기 누적 건수 금액 단가 가격 물량 출하 재고 매출 %".split()
-TEXT_WORDS = "왜 이유 배경 경위 동향 전망 리스크 영향 대응 평가 의견 요약 정리 내용".split()
-BLOCKED_WORDS = "개인정보 연봉 급여".split()
-PERIOD_WORDS = r"([0-9]{4}\s*년|[0-9]\s*분기|[1-4]Q|[0-9]{1,2}\s*월|최근|올해|작년|전년|주간|월별|분기별)"
+NUMBER_WORDS = ["얼마", "몇", "수치", "합계", "총", "평균", "최대", "최소", "추이", "증감", "변동", "비중", "점유율", "대비", "전월", "전년", "전분기", "누적", "건수", "금액", "단가", "가격", "물량", "출하", "재고", "매출", "%"]
+TEXT_WORDS = ["왜", "이유", "배경", "경위", "동향", "전망", "리스크", "영향", "대응", "평가", "의견", "요약", "정리", "내용"]
+BLOCKED_WORDS = ["개인정보", "연봉", "급여"]
+PERIOD_WORDS = r"(\d{4}\s*년|\d\s*분기|[1-4]Q|\d{1,2}\s*월|최근|올해|작년|전년|주간|월별|분기별)"
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def period_of(question: Column | str) -> Column:
     """(lo, hi) of the period a question names as yyyymm bounds; null where it names none. A quarter without a year gives none."""
     q = F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit(""))
     group = lambda p, i: F.nullif(F.regexp_extract(q, p, i), F.lit(""))
-    quarter, short, month, year = r"(20[0-9]{2})\s*년\s*([1-4])\s*분기", r"([1-4])Q\s*([0-9]{2})", r"(20[0-9]{2})\s*년\s*([0-9]{1,2})\s*월", r"(20[0-9]{2})\s*년"
+    quarter, short, month, year = r"(20\d{2})\s*년\s*([1-4])\s*분기", r"([1-4])Q\s*(\d{2})", r"(20\d{2})\s*년\s*(\d{1,2})\s*월", r"(20\d{2})\s*년"
     y = F.coalesce(group(quarter, 1), F.concat(F.lit("20"), group(short, 2)))
     k = F.coalesce(group(quarter, 2), group(short, 1)).cast("int")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")

@@ -11,6 +11,7 @@ from millrace.functions.keys import doc_key, type_aliases, with_type
 from millrace.operators import checks as C
 from millrace.operators import chunking as H
 from millrace.operators import dedup as D
+from millrace.operators.retrieval import corpus
 from millrace.session import table
 from millrace.sources import readers
 from millrace.sources.registry import registry_table, unmapped
@@ -127,7 +128,7 @@ QUERIES = {
     "unmapped_types": lambda s, d: unmapped(table(s, d, "raw"), type_aliases(table(s, d, "source_types"))),
     "registry": lambda s, d: registry_table(s),
     "standard_types": lambda s, d: readers.standard_types(readers.select_mapped(table(s, d, "raw"), readers.RAW_COLUMNS), table(s, d, "source_types")).select("raw_no", "doc_type", "doc_type_raw"),
-    "index_check": lambda s, d: readers.index_check(table(s, d, "chunks"), table(s, d, "chunks").select("chunk_id", "doc_id", "text").distinct()),
+    "index_check": lambda s, d: readers.index_check(table(s, d, "chunks"), corpus(table(s, d, "chunks"))),
     "org_counts": lambda s, d: C.value_counts(table(s, d, "raw"), "org_name"),
     "uncovered_docs": uncovered,
     "key_sets": key_sets,
@@ -268,7 +269,7 @@ SELECT doc_type, count(*) AS n, min(t) AS least, round(median(t), 6) AS median,
     "sample_per_type": f"{TYPED}, n AS (SELECT doc_type, doc_id, raw_no, CAST(row_number() OVER (PARTITION BY doc_type ORDER BY doc_id, raw_no) AS INTEGER) AS i FROM ty WHERE doc_id IS NOT NULL) SELECT * FROM n WHERE i <= 20",
     "unmapped_types": f"WITH {ALIAS}, c AS (SELECT doc_type AS doc_type_raw, count(*) AS n_docs FROM raw GROUP BY 1) SELECT doc_type_raw, n_docs, code AS doc_type, CASE WHEN code IS NULL THEN 'unknown' ELSE 'known' END AS status, CASE WHEN code IS NULL THEN 'add an alias or a type' ELSE '' END AS remedy FROM c LEFT JOIN alias ON a = upper(trim(doc_type_raw))",
     "standard_types": f"WITH {ALIAS} SELECT raw_no, coalesce(code, doc_type) AS doc_type, doc_type AS doc_type_raw FROM raw LEFT JOIN alias ON a = upper(trim(doc_type))",
-    "index_check": "WITH i AS (SELECT DISTINCT chunk_id, doc_id, text FROM chunks), n AS (SELECT (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM i) AS n_index) SELECT n_chunks, n_index, round(n_index / n_chunks, 4) AS ratio, '' AS missing_fields FROM n",
+    "index_check": "WITH i AS (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL), n AS (SELECT (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM i) AS n_index) SELECT n_chunks, n_index, round(n_index / n_chunks, 4) AS ratio, '' AS missing_fields FROM n",
     "org_counts": "SELECT coalesce(nullif(org_name, ''), '(blank)') AS value, count(*) AS n FROM raw GROUP BY 1",
     "uncovered_docs": "SELECT DISTINCT doc_id FROM raw WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM chunks WHERE doc_id IS NOT NULL)",
     "key_sets": "WITH r AS (SELECT DISTINCT upper(trim(doc_id)) AS k FROM raw WHERE trim(doc_id) <> ''), c AS (SELECT DISTINCT upper(trim(doc_id)) AS k FROM chunks WHERE trim(doc_id) <> '') SELECT 'both' AS part, count(*) AS n FROM r SEMI JOIN c USING (k) UNION ALL SELECT 'raw only', count(*) FROM r ANTI JOIN c USING (k) UNION ALL SELECT 'chunks only', count(*) FROM c ANTI JOIN r USING (k)",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.keys import doc_key
 from millrace.operators import compare as P
 from millrace.operators import dedup as D
 from millrace.operators import evalsets as V
@@ -53,11 +54,18 @@ def rubric(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_last(spark: SparkSession, d: str) -> DataFrame:
-    """Share of undated rows of each type, one column a load, over all loads of the table."""
-    raw = C.typed(spark, d).where("doc_type is not null and load_no is not null").withColumn("run", F.concat(F.lit("L"), "load_no"))
-    loads = [r.load_no for r in table(spark, d, "raw").where("load_no is not null").select("load_no").distinct().orderBy("load_no").collect()]
-    runs = raw.groupBy("doc_type", "run").agg(F.round(F.avg((F.col("published_at").isNull()).cast("double")), 6).alias("p"))
-    return P.first_last(runs, "doc_type", "run", [f"L{k}" for k in loads], "p")
+    """(doc_type, load_no, p, delta, regressed): share of undated rows of each type in each load that has it, and last minus first of the type."""
+    raw = C.typed(spark, d).where("doc_type is not null and load_no is not null")
+    runs = raw.groupBy("doc_type", "load_no").agg(F.round(F.avg((F.col("published_at").isNull()).cast("double")), 6).alias("p"))
+    ends = runs.groupBy("doc_type").agg(F.round(F.max_by("p", "load_no") - F.min_by("p", "load_no"), 6).alias("delta"))
+    return runs.join(ends, "doc_type").withColumn("regressed", F.col("delta") < 0)
+
+
+def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """How alike the first and the last title are that a document was collected with, of those collected more than once."""
+    raw = table(spark, d, "raw").select("raw_no", doc_key("doc_id").alias("key"), "title").where("key is not null and key <> ''")
+    keys = raw.groupBy("key").agg(F.min("raw_no").alias("id_a"), F.max("raw_no").alias("id_b")).where("id_a < id_b").select("id_a", "id_b")
+    return D.title_jaccard(raw.select(F.col("raw_no").alias("id"), F.col("title").alias("text")), keys)
 
 
 def worst(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +114,7 @@ def set_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "mode_side_by_side": side_by_side, "union_dedup": union_dedup, "question_dedup": question_dedup, "sample_errors": sample_errors, "question_crosstab": crosstab, "title_rates": title_rates, "rubric_score": rubric, "run_first_last": first_last, "worst_questions": worst,
+    "mode_side_by_side": side_by_side, "union_dedup": union_dedup, "question_dedup": question_dedup, "sample_errors": sample_errors, "question_crosstab": crosstab, "title_rates": title_rates, "rubric_score": rubric, "run_first_last": first_last, "title_jaccard": title_jaccard, "worst_questions": worst,
     "best_run": best_run, "load_progress": progress, "routing_accuracy": routing_accuracy, "dup_pair_set": dup_pair_set, "set_verdicts": set_verdicts,
 }
 
@@ -141,7 +149,10 @@ SQL = {
     "question_crosstab": "SELECT q_type, " + ", ".join(f'count(*) FILTER (source = \'{s}\') AS "{s}"' for s in SOURCE_NAMES) + " FROM golden_sample100 GROUP BY 1",
     "title_rates": "SELECT source, count(*) AS n, count(*) FILTER (length(title) >= 30) AS n_good, round(count(*) FILTER (length(title) >= 30) / nullif(count(title), 0), 6) AS rate FROM golden_sample100 GROUP BY 1",
     "rubric_score": f"""WITH s AS (SELECT CAST(regexp_matches(coalesce(gold_text, ''), '{Q._PAT["refused"]}') = (q_type = '답없음') AS INTEGER) AS score, q_type = '답없음' AS na FROM golden_sample100) SELECT round(avg(score), 6) AS mean_score, round(avg(score) FILTER (na), 6) AS no_answer_accuracy, CASE WHEN avg(score) >= 0.75 THEN 'pass' ELSE 'fail' END AS verdict FROM s""",
-    "run_first_last": f"{C.TYPED}, p AS (SELECT doc_type, load_no, round(avg(CASE WHEN published_at IS NULL THEN 1.0 ELSE 0.0 END), 6) AS p FROM ty WHERE doc_type IS NOT NULL AND load_no IN (1, 2, 3) GROUP BY 1, 2), w AS (SELECT doc_type, max(p) FILTER (load_no = 1) AS L1, max(p) FILTER (load_no = 2) AS L2, max(p) FILTER (load_no = 3) AS L3 FROM p GROUP BY 1) SELECT *, round(L3 - L1, 6) AS delta, coalesce(round(L3 - L1, 6) < 0, false) AS regressed FROM w",
+    "run_first_last": f"{C.TYPED}, p AS (SELECT doc_type, load_no, round(avg(CASE WHEN published_at IS NULL THEN 1.0 ELSE 0.0 END), 6) AS p FROM ty WHERE doc_type IS NOT NULL AND load_no IS NOT NULL GROUP BY 1, 2), w AS (SELECT doc_type, round(arg_max(p, load_no) - arg_min(p, load_no), 6) AS delta FROM p GROUP BY 1) SELECT doc_type, load_no, p, delta, delta < 0 AS regressed FROM p JOIN w USING (doc_type)",
+    "title_jaccard": f"""WITH k AS (SELECT min(raw_no) AS id_a, max(raw_no) AS id_b FROM raw WHERE trim(doc_id) <> '' GROUP BY upper(trim(doc_id)) HAVING min(raw_no) < max(raw_no)), g AS (SELECT raw_no, {C.GRAMS("coalesce(title, '')", 4)} AS g FROM raw)
+SELECT id_a, id_b, round(CASE WHEN len(list_distinct(list_concat(a.g, b.g))) > 0 THEN len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) ELSE 0.0 END, 6) AS jaccard FROM k JOIN g a ON a.raw_no = id_a JOIN g b ON b.raw_no = id_b""",
+    "unanswerable": "SELECT 'N' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS qid, ['보유 자료에 없는 기간의 월별 수치를 묻는 질문', '보유 자료에 없는 업체의 실적을 묻는 질문', '보유 자료에 없는 지표의 전망을 묻는 질문'][i % 3 + 1] || ' (변형 ' || (i + 1) || ')' AS question, '확인된 자료 없음' AS gold_answer, '' AS gold_text, '답없음' AS q_type, 'mid' AS level, '' AS gold_doc_ids, '' AS src_chunk FROM range(6) t(i)",
     "worst_questions": f"WITH {Q._JUDGED}, {Q._detail()} SELECT qid, mrr FROM de ORDER BY mrr, qid LIMIT 5",
     "best_run": f"WITH {Q._RUNS} SELECT max(p) AS best, (SELECT run_id FROM ru ORDER BY p DESC, run_id DESC LIMIT 1) AS run_id, count(*) FILTER (p >= 0.95) AS n_good, round(avg(CASE WHEN p >= 0.95 THEN 1.0 ELSE 0.0 END), 6) AS good_rate FROM ru",
     "load_progress": "WITH g AS (SELECT load_no, count(*) AS c FROM raw GROUP BY 1), s AS (SELECT CASE WHEN declared_rows IS NULL THEN 'undeclared' WHEN coalesce(c, 0) = declared_rows THEN 'complete' ELSE 'differs' END AS state FROM loads LEFT JOIN g USING (load_no)) SELECT state, count(*) AS n, round(count(*) / (SELECT count(*) FROM loads), 6) AS share FROM s GROUP BY 1",

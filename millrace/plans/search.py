@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens as K
+from millrace.operators import checks as C
 from millrace.operators import compare as P
 from millrace.operators import evalsets as V
 from millrace.operators import graph as G
@@ -49,12 +50,17 @@ def dense_vectors(spark: SparkSession, d: str) -> DataFrame:
     return R.dense(v.withColumnRenamed("embedding", "vec"), asked, 10, "vec_id").select("qid", "vec_id", "rank", "score")
 
 
+def dense(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    """Hits by the hashed vectors of questions and chunks."""
+    return R.dense(R.hashed_vectors(docs(spark, d), "chunk_id", "text"), R.hashed_vectors(golden(spark, d), "qid", "question"), k)
+
+
 def self_search(spark: SparkSession, d: str) -> DataFrame:
     return dense_vectors(spark, d).where("rank = 1").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("qid") == F.col("vec_id").cast("string")).cast("double")), 6).alias("hit_rate"))
 
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
-    return R.hybrid({"bm25": bm25(spark, d, 50), "sparse": sparse(spark, d, 50)}).select("qid", "chunk_id", "rank", "score", "via")
+    return R.hybrid({"bm25": bm25(spark, d, 50), "dense": dense(spark, d, 50), "sparse": sparse(spark, d, 50)}).select("qid", "chunk_id", "rank", "score", "via")
 
 
 def reranked(spark: SparkSession, d: str) -> DataFrame:
@@ -93,10 +99,11 @@ def sweep(spark: SparkSession, d: str) -> DataFrame:
     retriever, g = R.Retriever(table(spark, d, "chunks")), golden(spark, d)
     lists = retriever.lists(g)
     out = None
-    for rrf_k in (30, 60):
-        for lam in (0.5, 0.9):
+    for rrf_k in (20, 60):
+        for lam in (0.5, 0.7, 1.0):
             detail = M.retrieval_metrics(M.judge(retriever.search(g, R.MODES[-1], lam=lam, rrf_k=rrf_k, lists=lists), g), g)
-            row = detail.agg(F.round(F.avg("mrr"), 3).alias("mrr"), F.round(F.avg("recall_5"), 3).alias("recall_5")).select(F.lit(rrf_k).alias("rrf_k"), F.lit(lam).alias("lam"), "mrr", "recall_5")
+            names = ["hit_1", "hit_5", "mrr", "ndcg_10", "recall_5"]
+            row = detail.agg(*(F.round(F.avg(c), 3).alias(c) for c in names)).select(F.lit(rrf_k).alias("rrf_k"), F.lit(lam).alias("lam"), *names)
             out = row if out is None else out.unionByName(row)
     return out
 
@@ -169,7 +176,8 @@ def screened(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    meta = doc_types(spark, d).withColumn("published_at", F.lit(None).cast("timestamp_ntz"))
+    dates = table(spark, d, "raw").where("doc_id is not null").groupBy("doc_id").agg(F.min("published_at").alias("published_at"))
+    meta = doc_types(spark, d).join(dates, "doc_id")
     return V.link_evidence(golden(spark, d), texts(spark, d, bm25(spark, d, 5)), meta)
 
 
@@ -231,7 +239,7 @@ def run_mcnemar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def presets(spark: SparkSession, d: str) -> DataFrame:
-    return G.compare(["v0_baseline", "v2_rerank", "v6_verify"], golden(spark, d), R.Retriever(table(spark, d, "chunks")), golden(spark, d))[0]
+    return G.compare(list(G.PRESETS), golden(spark, d), R.Retriever(table(spark, d, "chunks")), golden(spark, d))[0]
 
 
 def preset_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -307,12 +315,12 @@ def guard_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "bm25_topk": bm25, "sparse_topk": sparse, "dense_topk": dense_vectors, "self_search": self_search, "hybrid_rrf": fused, "rerank_overlap": reranked, "cap_per_doc": capped, "search_modes": modes, "mode_metrics": mode_metrics, "mode_pivot": mode_pivot, "parameter_sweep": sweep,
+    "bm25_topk": bm25, "sparse_topk": sparse, "dense_topk": dense_vectors, "self_search": self_search, "hashed_topk": dense, "hybrid_rrf": fused, "rerank_overlap": reranked, "cap_per_doc": capped, "search_modes": modes, "mode_metrics": mode_metrics, "mode_pivot": mode_pivot, "parameter_sweep": sweep,
     "hashed_embeddings": lambda s, d: R.hashed_terms(docs(s, d), "chunk_id", "text").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_dims"), F.round(F.sum(F.col("w") * F.col("dim")), 6).alias("checksum")),
     "retrieval_detail": detail, "metrics_by_type": by_type, "failed_questions": failed_questions, "judged_hits": judged, "extractive_answers": answers, "answer_metrics": answer_metrics, "faithfulness": faith, "metric_verdicts": metric_verdicts,
     "gold_text_flags": gold_flags, "answer_context": context, "known_item_set": known_items, "title_queries": title_queries, "screened_set": screened, "uniqueness": lambda s, d: V.uniqueness(texts(s, d, bm25(s, d))), "evidence_link": evidence,
     "evidence_golden": lambda s, d: _judged_evidence(s, d)[0].select("qid", "gold_doc_ids", "gold_text"), "evidence_coverage": lambda s, d: V.coverage_report(_judged_evidence(s, d)[1]), "sampled_chunks": lambda s, d: sampled(s, d).select("doc_type", "chunk_id", "has_num"),
-    "generated_questions": generated, "self_check": checked, "unanswerable": lambda s, d: V.unanswerable(s), "mix_report": mix, "smoke_template": smoke, "smoke_summary": lambda s, d: __import__("millrace.operators.checks", fromlist=["x"]).value_counts(table(s, d, "golden_sample100"), "q_type"), "reviewed_set": review,
+    "generated_questions": generated, "self_check": checked, "unanswerable": lambda s, d: V.unanswerable(s), "mix_report": mix, "smoke_template": smoke, "smoke_summary": lambda s, d: C.value_counts(smoke(s, d).where("rank = 1"), "q_type"), "reviewed_set": review,
     "run_intervals": lambda s, d: P.with_interval(runs(s, d)), "run_pair": lambda s, d: P.two_runs(runs(s, d), "RUN-0001", "RUN-0002"), "run_changes": run_changes, "run_mcnemar": run_mcnemar,
     "run_delta_base": lambda s, d: P.delta_vs_base(runs(s, d), "RUN-0001", "run_id", ("p",)), "run_delta_previous": lambda s, d: P.delta_vs_previous(runs(s, d), "run_id", "p"), "preset_summary": presets, "preset_delta": preset_delta, "graph_plan": graph_plan, "graph_grade": graph_grade,
     "route_questions": lambda s, d: S.route(table(s, d, "golden_sample100"), CATALOG), "alias_hits": lambda s, d: S.alias_hits(table(s, d, "golden_sample100"), CATALOG), "period_extract": lambda s, d: table(s, d, "golden_sample100").select("qid", S.period_of("gold_text").alias("p")).select("qid", "p.lo", "p.hi"),
@@ -331,15 +339,23 @@ def _bm25(k: int, name: str = "bm", words=WORDS) -> str:
 {name} AS (SELECT * FROM (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM {name}_c) WHERE rank <= {k})"""
 
 
+def _dense(k: int) -> str:
+    """Signed feature hashing of questions and chunks into 256 dimensions, and every pair's dot product."""
+    vector = lambda name, key, text, source: f"""{name}_f AS (SELECT {key}, unnest(list_concat({STEMS(text)}, CASE WHEN length(lower(coalesce({text}, ''))) < 3 THEN [] ELSE list_transform(range(1, length(lower({text})) - 1), lambda i: substr(lower({text}), i, 3)) END)) AS f FROM {source}),
+{name}_h AS (SELECT {key}, CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) AS h FROM {name}_f), {name}_v AS (SELECT {key}, h % 256 AS dim, CAST(sum(CASE WHEN (h >> 8) & 1 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM {name}_h GROUP BY 1, 2), {name}_w AS (SELECT {key}, dim, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS w FROM {name}_v WHERE v <> 0)"""
+    return f"""{vector('dq', 'qid', 'question', 'gq')}, {vector('dd', 'chunk_id', 'text', 'dc')}, dn_s AS (SELECT qid, chunk_id, sum(dq_w.w * dd_w.w) AS s FROM dq_w JOIN dd_w USING (dim) GROUP BY 1, 2),
+dn AS (SELECT * FROM (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT gq.qid, dc.chunk_id, coalesce(round(s, 6), 0.0) + 0.0 AS score FROM gq CROSS JOIN dc LEFT JOIN dn_s ON dn_s.qid = gq.qid AND dn_s.chunk_id = dc.chunk_id)) WHERE rank <= {k})"""
+
+
 def _sparse(k: int) -> str:
     term = "CAST(('0x' || substr(md5(w), 1, 6)) AS BIGINT)"
     return f"""sp_d AS (SELECT chunk_id, {term} AS term, count(*) AS tf FROM (SELECT chunk_id, unnest({STEMS('text')}) AS w FROM dc) GROUP BY ALL), sp_q AS (SELECT qid, {term} AS term, count(*) AS qtf FROM (SELECT qid, unnest({STEMS('question')}) AS w FROM gq) GROUP BY ALL),
 sp AS (SELECT * FROM (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, CAST(sum(qtf * tf) AS DOUBLE) AS score FROM sp_q JOIN sp_d USING (term) GROUP BY 1, 2)) WHERE rank <= {k})"""
 
 
-_FUSED = f"""{_G}, {_bm25(50)}, {_sparse(50)}, fu AS (SELECT * FROM (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM
-(SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT qid, chunk_id, rank FROM bm UNION ALL SELECT qid, chunk_id, rank FROM sp) GROUP BY 1, 2)) WHERE rank <= 50),
-vi AS (SELECT qid, 'rrf(' || string_agg(p, '+' ORDER BY p) || ')' AS via FROM (SELECT DISTINCT qid, 'bm25' AS p FROM bm UNION ALL SELECT DISTINCT qid, 'sparse' FROM sp) GROUP BY 1)"""
+_FUSED = f"""{_G}, {_bm25(50)}, {_dense(50)}, {_sparse(50)}, fu AS (SELECT * FROM (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM
+(SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT qid, chunk_id, rank FROM bm UNION ALL SELECT qid, chunk_id, rank FROM dn UNION ALL SELECT qid, chunk_id, rank FROM sp) GROUP BY 1, 2)) WHERE rank <= 50),
+vi AS (SELECT qid, 'rrf(' || string_agg(p, '+' ORDER BY p) || ')' AS via FROM (SELECT DISTINCT qid, 'bm25' AS p FROM bm UNION ALL SELECT DISTINCT qid, 'dense' FROM dn UNION ALL SELECT DISTINCT qid, 'sparse' FROM sp) GROUP BY 1)"""
 _SHARE = lambda a, b, e: f"(CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b})) / len({a}) ELSE {e} END)"
 _RERANKED = f"""{_FUSED}, rr AS (SELECT qid, chunk_id, doc_id, rerank, CAST(row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, former) AS INTEGER) AS rank FROM
 (SELECT qid, chunk_id, dc.doc_id, fu.rank AS former, round({_SHARE(f"list_distinct({STEMS('question')})", f"list_distinct({STEMS('dc.text')})", '0.0')}, 6) AS rerank FROM fu JOIN dc USING (chunk_id) JOIN gq USING (qid)))"""
@@ -367,7 +383,7 @@ _TWO = f"{_G}, {_bm25(10, 'b1')}, {_bm25(10, 'b2', STEMS)}, " + ", ".join(
     for i in (1, 2)
 )
 _cnt = lambda c, ws: " + ".join(f"CAST(contains({c}, '{w}') AS INTEGER)" for w in ws)
-_DT = "dt AS (SELECT doc_id, min(code) AS doc_type, min(title) AS title FROM raw LEFT JOIN (SELECT a, min(code) AS code FROM (SELECT code, upper(trim(unnest(list_prepend(code, string_split(coalesce(aliases, ''), ';'))))) AS a FROM source_types) WHERE a <> '' GROUP BY 1) ON a = upper(trim(raw.doc_type)) WHERE doc_id IS NOT NULL GROUP BY 1)"
+_DT = "dt AS (SELECT doc_id, min(code) AS doc_type, min(title) AS title, min(published_at) AS published_at FROM raw LEFT JOIN (SELECT a, min(code) AS code FROM (SELECT code, upper(trim(unnest(list_prepend(code, string_split(coalesce(aliases, ''), ';'))))) AS a FROM source_types) WHERE a <> '' GROUP BY 1) ON a = upper(trim(raw.doc_type)) WHERE doc_id IS NOT NULL GROUP BY 1)"
 _NUM = r"[0-9][0-9,\.]*[ \t\n\x0B\f\r]*(?:%|원|달러|억|조|배|EB|TB|GB|bp|나노|단)"
 _FIT = r"lambda x: length(x) <= 160 AND regexp_matches(x, '[\p{L}\p{N}_]') AND NOT regexp_matches(x, '^(>|-----|#|\[)') AND NOT contains(x, '이전 메일') AND NOT contains(x, '|') AND NOT regexp_matches(x, '^[ \t\n\x0B\f\r]*[0-9.]+[ \t\n\x0B\f\r]') AND length(x) - length(replace(x, '.', '')) <= 6 AND regexp_matches(x, '(다|요|음|함|임|됨|것|정|표)[.!?]?$') AND len(regexp_extract_all(x, '[가-힣]{2,}')) >= 3"
 _UNIQ = r"([A-Z]{2,}[-_]?[0-9]+|[0-9][0-9,\.]{2,}[ \t\n\x0B\f\r]*(?:%|억|조|EB|TB|GB|달러|원)?|[A-Z]{3,})"
@@ -377,6 +393,7 @@ SQL = {
     "sparse_topk": f"WITH {_G}, {_sparse(10)} SELECT * FROM sp",
     "dense_topk": "WITH s AS (SELECT CAST(q.vec_id AS VARCHAR) AS qid, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
     "self_search": "WITH s AS (SELECT q.vec_id AS q, v.vec_id AS v, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, v) = 1) SELECT count(*) AS n, round(avg(CASE WHEN q = v THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM r",
+    "hashed_topk": f"WITH {_G}, {_dense(10)} SELECT * FROM dn",
     "hybrid_rrf": f"WITH {_FUSED} SELECT qid, chunk_id, rank, score, via FROM fu JOIN vi USING (qid)",
     "rerank_overlap": f"WITH {_RERANKED} SELECT * FROM rr",
     "cap_per_doc": f"WITH {_RERANKED}, k AS (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) <= 3) SELECT qid, chunk_id, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS rank FROM k",
@@ -397,14 +414,14 @@ n AS (SELECT *, row_number() OVER (ORDER BY o, doc_id) AS i FROM p) SELECT 'K' |
     "title_queries": "WITH t AS (SELECT doc_id, min(title) AS title FROM raw WHERE doc_id IS NOT NULL GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY md5('7|' || doc_id || '|' || title), doc_id, title) AS i FROM t WHERE length(title) >= 8) SELECT 'T' || lpad(CAST(i AS VARCHAR), 4, '0') AS qid, title AS question, 'title' AS q_type, 'easy' AS level, doc_id AS gold_doc_ids, '' AS gold_text, '' AS src_chunk FROM n WHERE i <= 200",
     "screened_set": f"WITH {_JUDGED} SELECT gq.qid, min(rank) IS NOT NULL AS found, min(rank) AS first_rank FROM gq LEFT JOIN ju ON ju.qid = gq.qid AND list_contains({_IDS.replace('gold_doc_ids', 'gq.gold_doc_ids')}, ju.doc_id) GROUP BY 1",
     "uniqueness": f"WITH {_JUDGED} SELECT a.qid, round(avg(CASE WHEN a.doc_id = b.doc_id THEN 1.0 ELSE 0.0 END), 6) AS uniqueness FROM ju a JOIN ju b ON a.qid = b.qid AND b.rank = 1 WHERE a.rank <= 5 GROUP BY 1",
-    "evidence_link": f"""WITH {_JUDGED}, {_DT} SELECT gq.qid, CASE WHEN coalesce(rank, 1) = 1 THEN question ELSE '' END AS question, CASE WHEN coalesce(rank, 1) = 1 THEN q_type ELSE '' END AS q_type, coalesce(rank, 0) AS cand_rank, coalesce(h.doc_id, '') AS cand_doc_id, coalesce(dt.doc_type, '') AS cand_doc_type, '' AS cand_date, coalesce(substr(text, 1, 300), '(검색 결과 없음)') AS cand_text, round(score, 4) AS score
+    "evidence_link": f"""WITH {_JUDGED}, {_DT} SELECT gq.qid, CASE WHEN coalesce(rank, 1) = 1 THEN question ELSE '' END AS question, CASE WHEN coalesce(rank, 1) = 1 THEN q_type ELSE '' END AS q_type, coalesce(rank, 0) AS cand_rank, coalesce(h.doc_id, '') AS cand_doc_id, coalesce(dt.doc_type, '') AS cand_doc_type, coalesce(strftime(dt.published_at, '%Y-%m-%d'), '') AS cand_date, coalesce(substr(text, 1, 300), '(검색 결과 없음)') AS cand_text, round(score, 4) AS score
 FROM gq LEFT JOIN (SELECT * FROM ju WHERE rank <= 5) h USING (qid) LEFT JOIN dt ON dt.doc_id = h.doc_id""",
     "evidence_golden": f"WITH {_JUDGED} SELECT qid, string_agg(DISTINCT doc_id, ';' ORDER BY doc_id) AS gold_doc_ids, arg_min(substr(text, 1, 60), rank) AS gold_text FROM ju WHERE rank <= 5 AND rel = 1 GROUP BY 1",
     "evidence_coverage": f"WITH {_JUDGED}, st AS (SELECT qid, CASE WHEN max(rel) = 1 THEN 'f' WHEN max(CAST(rel = 0 AND rank > 1 AS INT)) = 1 THEN 'n' ELSE 'h' END AS s FROM ju WHERE rank <= 5 GROUP BY 1) SELECT count(*) AS n_questions, count(*) FILTER (s = 'f') AS n_found, count(*) FILTER (s = 'n') AS n_no_document, count(*) FILTER (s = 'h') AS n_hold, round(coalesce(count(*) FILTER (s = 'f') / nullif(count(*), 0), 0.0), 3) AS found_rate FROM st",
     "sampled_chunks": f"WITH {_G}, {_DT} SELECT doc_type, chunk_id, has_num FROM (SELECT dt.doc_type, chunk_id, regexp_matches(text, '{_NUM}') AS has_num FROM dc LEFT JOIN dt USING (doc_id) WHERE length(text) >= 150) QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY has_num DESC, chunk_id) <= 10",
     "mix_report": "WITH t(q_type, part) AS (VALUES ('사실', 0.30), ('수치', 0.25), ('종합', 0.15), ('기간', 0.10), ('비교', 0.10), ('답없음', 0.10)), n AS (SELECT count(*) AS n FROM golden_sample100), c AS (SELECT q_type, count(*) AS actual FROM golden_sample100 GROUP BY 1) SELECT q_type, round(CAST(part AS DOUBLE) * n, 6) AS wanted, coalesce(actual, 0) AS actual, round(coalesce(actual, 0) / n, 6) AS share, CASE WHEN coalesce(actual, 0) < part * n * 0.6 THEN '부족' WHEN coalesce(actual, 0) > part * n * 1.5 THEN '과다' ELSE '적정' END AS verdict FROM t LEFT JOIN c USING (q_type), n",
     "smoke_template": f"WITH {_JUDGED} SELECT qid, q_type, CASE WHEN rank = 1 THEN question ELSE '' END AS question, rank, doc_id, substr(text, 1, 300) AS text, '' AS answer, CASE WHEN rank = 1 THEN '' END AS search_verdict, CASE WHEN rank = 1 THEN '' END AS answer_verdict, CASE WHEN rank = 1 THEN '' END AS failure FROM ju JOIN gq USING (qid)",
-    "smoke_summary": "SELECT coalesce(nullif(q_type, ''), '(blank)') AS value, count(*) AS n FROM golden_sample100 GROUP BY 1",
+    "smoke_summary": f"WITH {_JUDGED} SELECT coalesce(nullif(q_type, ''), '(blank)') AS value, count(*) AS n FROM ju JOIN gq USING (qid) WHERE rank = 1 GROUP BY 1",
     "reviewed_set": "WITH g AS (SELECT *, CAST(regexp_extract(qid, '[0-9]+') AS BIGINT) % 3 AS no FROM golden_sample100) SELECT qid, CASE WHEN no = 1 THEN '수정: ' || question ELSE question END AS question, '사실' AS q_type, gold_doc_ids, gold_text, 'mid' AS level, '자동-golden' AS origin, '' AS memo FROM g WHERE no < 2",
     "run_intervals": f"WITH {_RUNS} SELECT run_id, n, p, round(1.96 * sqrt(p * (1 - p) / n), 6) AS half_width, CASE WHEN p >= 0.8 THEN 'pass' ELSE 'fail' END AS verdict FROM ru",
     "run_pair": f"WITH {_RUNS}, x AS (SELECT b.p - a.p AS diff, 1.96 * sqrt(a.p * (1 - a.p) / a.n + b.p * (1 - b.p) / b.n) AS error FROM ru a, ru b WHERE a.run_id = 'RUN-0001' AND b.run_id = 'RUN-0002') SELECT round(diff, 6) AS diff, round(error, 6) AS error, CASE WHEN abs(diff) > error THEN 'significant' ELSE 'hold' END AS verdict FROM x",

@@ -28,7 +28,7 @@ class Source:
 SOURCES = {
     "NEWS": Source("뉴스", "외부", 0, ["org_name"], [r"무단\s*전재.*", r"재배포\s*금지.*", r"저작권자\s*ⓒ.*", r"^관련기사.*", r"^-\s.*", r"\S+@\S+\.\S+", r"^\S+\s기자\s*$"], 500),
     "BROKER": Source("증권사", "외부", 1, ["org_name", "author"], [r"Compliance Notice.*", r"본 자료는 투자 참고용.*", r"당사는 자료 작성일 현재.*", r"투자의견\s*(매수|중립|비중확대).*"], 600, True, False, True),
-    "INSTITUTION": Source("기관", "외부", 1, ["org_name"], [r"^목차$", r".*\.{5,}\s*[0-9]+\s*$"], 600, True, False, True),
+    "INSTITUTION": Source("기관", "외부", 1, ["org_name"], [r"^목차$", r".*\.{5,}\s*\d+\s*$"], 600, True, False, True),
     "EMAIL": Source("메일", "내부", 2, ["author"], [], 400, False, True),
     "MEETING": Source("회의록", "내부", 2, ["org_name"], [r"^참석\s*:.*", r"^회의명\s*:.*"], 450),
     "REPORT": Source("사내 보고서", "내부", 2, ["org_name", "author"], [r"※\s*본 문서는 사내 한정.*"], 600, True, False, True),
