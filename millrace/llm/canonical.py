@@ -29,6 +29,24 @@ LOOK_ALIKES = {
     "ɡ": "g", "ɑ": "a", "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Լ": "L",
     "µ": "μ", "‐": "-", "‑": "-", "∶": ":", "⁄": "/", "∕": "/", "⁎": "*", "∗": "*", "ꓸ": ".", "․": ".", "‚": ",", "ǃ": "!",
 }
+def confusables(path: str) -> dict[str, str]:
+    """Look-alikes of a file in the public format of Unicode's confusables data: ``source ; target ; type # comment``, code points in hex.
+
+    Only single characters that stand for a single Latin letter or sign are taken, since others would change what a
+    reader sees; the table can replace ``LOOK_ALIKES`` where the file is at hand.
+    """
+    out = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            source, _, rest = line.partition("#")[0].partition(";")
+            target = rest.partition(";")[0].split()
+            if source.split() and len(source.split()) == len(target) == 1:
+                a, b = chr(int(source.strip(), 16)), chr(int(target[0], 16))
+                if not a.isascii() and b.isascii():
+                    out[a] = b
+    return out
+
+
 #: Joins of Latin letters, written as one sign.
 JOINS = [*range(0xFB00, 0xFB07), 0x132, 0x133, 0x1C7, 0x1C8, 0x1C9, 0x1CA, 0x1CB, 0x1CC, 0x1F1, 0x1F2, 0x1F3]
 #: Signs that leave no mark though their category is not Cf: grapheme joiner, jamo fillers, Khmer vowels, variation selectors.
@@ -221,12 +239,13 @@ def _prints(text: str, name: str) -> list:
     return [F.xxhash64(text).alias(f"{name}1"), F.xxhash64(F.lit("second"), F.col(text)).alias(f"{name}2")]
 
 
-def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_a, id_b), id_a < id_b: every pair of rows whose texts differ as stored but have one common form.
+FORM, VARIANT = ["c1", "c2"], ["r1", "r2"]
+
 
-    Null and blank texts form no pair. Texts meet by 128-bit prints of their common form. Exact copies are collapsed to
-    variants first: only groups of two or more variants go on, variants are paired, and the copies of either side are
-    attached to the pairs, so copies of one text never meet each other.
+def _alike(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, r1, r2, c1, c2) of the rows whose common form has two stored variants or more: prints of the text and of the form.
+
+    Null and blank texts have no form. Texts meet by 128-bit prints, so no text is shuffled.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -236,11 +255,34 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     folded = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), *_prints(text_col, "r"), text_col).mapInArrow(run, f"id {kind}, r1 bigint, r2 bigint, folded string")
     rows = folded.where(F.translate("folded", " \n", "") != "").select("id", "r1", "r2", *_prints("folded", "c"))
-    rows = cut(rows, "prints")  # read five times below; 48 bytes a row
-    form, variant = ["c1", "c2"], ["r1", "r2"]
+    rows = cut(rows, "prints")  # read several times; 48 bytes a row
     # a form with one variant has equal least and greatest prints; this needs no list of a form's rows
-    several = rows.groupBy(*form).agg(F.min(F.struct(*variant)).alias("lo"), F.max(F.struct(*variant)).alias("hi")).where("lo <> hi").select(*form)
-    members = rows.join(several, form, "left_semi")
+    several = rows.groupBy(*FORM).agg(F.min(F.struct(*VARIANT)).alias("lo"), F.max(F.struct(*VARIANT)).alias("hi")).where("lo <> hi").select(*FORM)
+    return rows.join(several, FORM, "left_semi")
+
+
+def variant_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, variant_id, n_links): one row per row whose text looks like a differently stored one.
+
+    class_id is the least id of the rows that look alike, variant_id the least id of the exact copies, n_links the number
+    of rows of the class that are stored differently. Nothing is paired, so a common form costs as many rows as it has.
+    """
+    members = _alike(df, id_col, text_col)
+    variants = members.groupBy(*FORM, *VARIANT).agg(F.min("id").alias("variant_id"), F.count(F.lit(1)).alias("n"))
+    classes = variants.groupBy(*FORM).agg(F.min("variant_id").alias("class_id"), F.sum("n").alias("total"))
+    linked = variants.join(classes, FORM).select(*FORM, *VARIANT, "class_id", "variant_id", (F.col("total") - F.col("n")).alias("n_links"))
+    return members.join(linked, [*FORM, *VARIANT]).select("id", "class_id", "variant_id", "n_links")
+
+
+def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_a, id_b), id_a < id_b: every pair of rows whose texts differ as stored but have one common form.
+
+    Null and blank texts form no pair. Exact copies are collapsed to variants, variants are paired, and the copies of
+    either side are attached to the pairs, so copies of one text never meet each other. The result has as many rows as
+    there are pairs; ``variant_classes`` says the same in one row per row.
+    """
+    form, variant = FORM, VARIANT
+    members = _alike(df, id_col, text_col)
     variants = members.select(*form, *variant).distinct()
     others = variants.select(*form, F.col("r1").alias("s1"), F.col("r2").alias("s2"))
     pairs = variants.join(others, form).where("struct(r1, r2) < struct(s1, s2)")

@@ -3,8 +3,9 @@
 Items are spread over partitions of bounded size. Each partition is packed by best-fit decreasing and compares its bin
 count with the lower bound that dual-feasible functions give for its own items: where they are equal the partition is
 certified. Partitions with a gap keep their full containers, give the rest back, and the documents given back by all of
-them are exchanged over new partitions and packed again. When that saves nothing more, certified partitions give back
-too, as long as the bound over all items says that containers may still be saved. A round counts only if it saves some.
+them are exchanged over new partitions and packed again. When that saves nothing more, certified partitions give their
+open containers back too, as long as the bound over all items says that containers may still be saved. A round counts
+only if it saves some, and rounds go on until one saves nothing or the bound is met.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from millrace.session import cut
 CAPACITY = 4096
 #: Items that one partition packs at once; bounds the memory of a task.
 PARTITION_ITEMS = 20_000
-ROUNDS = 4
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -104,12 +104,13 @@ def _containers(df: DataFrame) -> int:
     return df.select("container").distinct().count()
 
 
-def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY, partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY, partition_items: int = PARTITION_ITEMS, rounds: int | None = None) -> DataFrame:
     """(id, piece, n_tokens, container) for every item with a positive size.
 
     An item within the capacity has one piece, number 0, in one container. A longer one is split: its pieces of full
     capacity have a container each, and its remainder is packed as an item of its own. Null, zero and negative sizes
-    need no place and give no row; an empty table gives an empty table. ``id_col`` must be unique.
+    need no place and give no row; an empty table gives an empty table. ``id_col`` must be unique. ``rounds`` bounds the
+    exchanges where less time matters more than containers.
     """
     items = sizes.select(F.col(id_col).alias("item_id"), F.col(size_col).cast("int").alias("size")).where("size > 0")
     full = F.floor(F.col("size") / capacity).cast("int")
@@ -121,36 +122,27 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     n = rest.count()
     placed = cut(_pack_once(rest, n, 0, capacity, partition_items), "pack-0") if n else None
     bound = _remainder_bound(items, capacity) if n else 0
-    used = n_final = 0
+    used = _containers(placed) if n else 0
     everyone = False  # whether certified partitions take part too
-    if placed is not None:
-        used = _containers(placed)
-    for round_no in range(1, rounds + 1):
-        if placed is None or used + n_final <= bound:
-            break
+    round_no = 0
+    while placed is not None and used > bound and (rounds is None or round_no < rounds):
+        round_no += 1
         part = F.col("fill") < capacity if everyone else ~F.col("certified") & (F.col("fill") < capacity)
         loose = placed.where(part)
-        n_loose = loose.count()
-        if not n_loose:
-            if everyone:
-                break
-            everyone = True
-            loose = placed.where(F.col("fill") < capacity)
-            n_loose = loose.count()
-            if not n_loose:
-                break
-            part = F.col("fill") < capacity
-        again = cut(_pack_once(loose, n_loose, round_no, capacity, partition_items), f"pack-{round_no}")
-        before, after = _containers(loose), _containers(again)
-        if after >= before:
+        size = loose.agg(F.count(F.lit(1)).alias("items"), F.count_distinct("container").alias("containers")).first()
+        again = cut(_pack_once(loose, size["items"], round_no, capacity, partition_items), f"pack-{round_no}") if size["items"] else None
+        after = _containers(again) if again is not None else 0
+        if again is None or after >= size.containers:
             if everyone:
                 break  # the exchange saved nothing, so the former containers stand
             everyone = True
             continue
-        kept = placed.where(~part)
-        final.append(kept.select(columns))
-        n_final += used - before
-        placed, used = again, after
+        # only full containers are done with; open ones of certified partitions may still take part
+        full_now = F.col("fill") == capacity
+        final.append(placed.where(full_now).select(columns))
+        placed = again.unionByName(placed.where(~part & ~full_now))
+        used += after - size.containers
+        everyone = False
     if placed is not None:
         final.append(placed.select(columns))
     out = final[0]

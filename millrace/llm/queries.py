@@ -71,6 +71,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.look_alike_pairs(table(spark, d, "documents")).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.variant_classes(table(spark, d, "documents"))
+
+
 def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical(table(spark, d, "documents"))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "p8_certificate": p8_certificate,
     "p9_found": p9_found,
     "p9_canonical": p9_canonical,
+    "p9_classes": p9_classes,
 }
 SQL = {
     "p2_found": _P2_ROWS + "SELECT raw_no, CAST(line_no AS INTEGER) AS line_no FROM f SEMI JOIN o USING (code, form)",

@@ -78,11 +78,12 @@ def truncated(chunks: DataFrame, raw: DataFrame) -> DataFrame:
     wanted = open1.where("key <> ''").select("key").distinct()
     longer = lines.where("key is not null").select("key", "line").join(wanted, "key", "left_semi").distinct()
     sizes = F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length("line"))
-    probes = open1.where("line <> '' and key <> ''").select("chunk_id", "key", "line", F.array_max(sizes).alias("n"))
+    # equal lines of one document are looked up once
+    probes = open1.where("line <> '' and key <> ''").select("key", "line").distinct().select("key", "line", F.array_max(sizes).alias("n"))
     probes = probes.select("*", F.xxhash64("n", F.substring(F.col("line"), F.lit(1), F.col("n"))).alias("p"))
     stored = longer.select("key", F.col("line").alias("long"), F.explode(F.transform(sizes, lambda n: F.xxhash64(n, F.substring(F.col("line"), F.lit(1), n)))).alias("p"))
-    met = probes.join(stored, ["key", "p"]).where("length(long) > length(line) and startswith(long, line)")
-    own_cut = cut(met.select("chunk_id").distinct(), "own-cut")
+    met = probes.join(stored, ["key", "p"]).where("length(long) > length(line) and startswith(long, line)").select("key", "line").distinct()
+    own_cut = cut(open1.join(met, ["key", "line"], "left_semi").select("chunk_id").distinct(), "own-cut")
 
     # 3: what is left, against the corpus
     rest = open1.join(own_cut, "chunk_id", "left_anti")

@@ -89,6 +89,15 @@ def test_exchange_saves_containers(spark):
     assert 120 <= exchanged < alone
 
 
+def test_exchange_goes_on_until_nothing_is_saved(spark):
+    random.seed(9)
+    sizes = spark.createDataFrame([(i, random.randrange(1, 60)) for i in range(300)], "doc_id int, n_tokens int")
+    packed = packing.pack(sizes, capacity=100, partition_items=15)
+    few = packing.pack(sizes, capacity=100, partition_items=15, rounds=1).select("container").distinct().count()
+    cert = packing.certificate(sizes, packed, capacity=100).first()
+    assert packed.count() == 300 and cert.lower_bound <= cert.n_containers <= few
+
+
 def test_pack_nothing(spark):
     none = spark.createDataFrame([], "doc_id int, n_tokens int")
     assert packing.pack(none).count() == 0 and packing.certificate(none, packing.pack(none)).first().n_containers == 0
@@ -125,5 +134,14 @@ def test_pairs(spark, rows):
     got = rows(canonical.look_alike_pairs(df))
     assert set(got) == want and len(got) == len(want)
     assert rows(canonical.look_alike_pairs(df.where("false"))) == []
+    classes = {r.id: (r.class_id, r.variant_id, r.n_links) for r in canonical.variant_classes(df).collect()}
+    links = {i: sum(i in p for p in want) for p in want for i in p}
+    assert {i: n for i, (_, _, n) in classes.items()} == links and classes[12] == (12, 12, 1) and classes[15] == (12, 15, 3) and classes[3][0] == 0
     form = dict(rows(canonical.canonical(df)))
     assert form[1] == "abc" and form[5] is None and form[7] == ""
+
+
+def test_confusables_of_the_public_format(tmp_path):
+    path = tmp_path / "confusables.txt"
+    path.write_text("\ufeff# comment\n0430 ;\t0061 ;\tMA\t# ( а → a )\n13AA ;\t0041 ;\tMA\n0031 ; 006C ; MA\n33A6 ; 006B 006D ; MA\n\n", encoding="utf-8")
+    assert canonical.confusables(str(path)) == {"а": "a", "\u13aa": "A"}
