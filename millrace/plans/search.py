@@ -320,7 +320,7 @@ QUERIES = {
     "retrieval_detail": detail, "metrics_by_type": by_type, "failed_questions": failed_questions, "judged_hits": judged, "extractive_answers": answers, "answer_metrics": answer_metrics, "faithfulness": faith, "metric_verdicts": metric_verdicts,
     "gold_text_flags": gold_flags, "answer_context": context, "known_item_set": known_items, "title_queries": title_queries, "screened_set": screened, "uniqueness": lambda s, d: V.uniqueness(texts(s, d, bm25(s, d))), "evidence_link": evidence,
     "evidence_golden": lambda s, d: _judged_evidence(s, d)[0].select("qid", "gold_doc_ids", "gold_text"), "evidence_coverage": lambda s, d: V.coverage_report(_judged_evidence(s, d)[1]), "sampled_chunks": lambda s, d: sampled(s, d).select("doc_type", "chunk_id", "has_num"),
-    "generated_questions": generated, "self_check": checked, "unanswerable": lambda s, d: V.unanswerable(s), "mix_report": mix, "smoke_template": smoke, "smoke_summary": lambda s, d: C.value_counts(smoke(s, d).where("rank = 1"), "q_type"), "reviewed_set": review,
+    "generated_questions": generated, "self_check": checked, "checked_set": lambda s, d: V.apply_check(cut(generated(s, d), "generated"), checked(s, d)), "unanswerable": lambda s, d: V.unanswerable(s), "mix_report": mix, "smoke_template": smoke, "smoke_summary": lambda s, d: C.value_counts(smoke(s, d).where("rank = 1"), "q_type"), "reviewed_set": review,
     "run_intervals": lambda s, d: P.with_interval(runs(s, d)), "run_pair": lambda s, d: P.two_runs(runs(s, d), "RUN-0001", "RUN-0002"), "run_changes": run_changes, "run_mcnemar": run_mcnemar,
     "run_delta_base": lambda s, d: P.delta_vs_base(runs(s, d), "RUN-0001", "run_id", ("p",)), "run_delta_previous": lambda s, d: P.delta_vs_previous(runs(s, d), "run_id", "p"), "preset_summary": presets, "preset_delta": preset_delta, "graph_plan": graph_plan, "graph_grade": graph_grade,
     "route_questions": lambda s, d: S.route(table(s, d, "golden_sample100"), CATALOG), "alias_hits": lambda s, d: S.alias_hits(table(s, d, "golden_sample100"), CATALOG), "period_extract": lambda s, d: table(s, d, "golden_sample100").select("qid", S.period_of("gold_text").alias("p")).select("qid", "p.lo", "p.hi"),
@@ -439,3 +439,43 @@ SELECT qid, CASE WHEN blocked THEN 'none' WHEN has_metric AND n_text >= 1 THEN '
     "metric_top_nations": "SELECT n_name, round(sum(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "daily_event_counts": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
+
+
+def _elements(must: str, answer: str) -> str:
+    """Share of the required elements that an answer covers, null without elements."""
+    bare = "regexp_replace(e, '\\([^)]*\\)', '', 'g')"
+    held = f"list_transform([list_filter(regexp_extract_all({bare}, '[가-힣A-Za-z0-9]{{2,}}'), lambda w: w NOT IN ('{_NAMED(K.ELEMENT_STOP_WORDS)}'))], lambda ks: CASE WHEN len(ks) > 0 THEN len(list_filter(ks, lambda w: contains(coalesce({answer}, ''), w))) / len(ks) ELSE 0.0 END)[1]"
+    return f"(SELECT CASE WHEN len(es) > 0 THEN round(len(list_filter(es, lambda e: greatest({_SHARE(GRAMS3(bare), GRAMS3(answer), '0.0')}, {held}) >= 0.25)) / len(es), 6) END FROM (SELECT list_filter(list_transform(string_split(coalesce({must}, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS es))"
+
+
+_CITED = f"regexp_extract_all(answer, '{_PAT['has_citation']}', 1)"
+_EVALUATED = f"""{_FAITH}, aa AS (SELECT gq.qid, q_type, question, answer, must_include, gold_text, coalesce(contexts, []) AS contexts FROM gq JOIN an USING (qid) LEFT JOIN cx USING (qid)),
+em AS (SELECT qid, q_type, round(greatest({_SHARE(GRAMS3('question'), GRAMS3('answer'), '0.0')}, {_SHARE(GRAMS3('answer'), GRAMS3('question'), '0.0')}), 6) AS answer_relevancy, {_elements('must_include', 'answer')} AS answer_correctness,
+CASE WHEN len({_CITED}) > 0 THEN round(len(list_filter({_CITED}, lambda c: c = 'DB' OR coalesce(TRY_CAST(c AS INTEGER) BETWEEN 1 AND len(contexts), false))) / len({_CITED}), 6) END AS citation_accuracy, CAST(len({_CITED}) AS INTEGER) AS n_citation,
+CASE WHEN trim(coalesce(gold_text, '')) <> '' THEN round({_SHARE(GRAMS3('gold_text'), GRAMS3("array_to_string(contexts, ' ')"), '0.0')}, 6) END AS context_recall, CAST(regexp_matches(answer, '{_PAT["refused"]}') = coalesce(q_type = '답없음', false) AS INTEGER) AS refusal_ok,
+""" + ", ".join(f"regexp_matches(answer, '{x}') AS {n}" for n, x in _PAT.items()) + ", faithfulness FROM aa LEFT JOIN ff USING (qid))"
+_GENERATED = f"""{_G}, {_DT}, sc AS (SELECT dt.doc_type, dc.doc_id, chunk_id, text, title FROM dc LEFT JOIN dt USING (doc_id) WHERE length(text) >= 150 QUALIFY row_number() OVER (PARTITION BY dt.doc_type ORDER BY regexp_matches(text, '{_NUM}') DESC, chunk_id) <= 10),
+ev AS (SELECT *, coalesce(list_filter(ss, lambda s: regexp_matches(s, '{_NUM}'))[1], ss[1]) AS ev FROM (SELECT *, {_SENTS('text', 26)} AS ss FROM sc)),
+ge AS (SELECT 'G-' || chunk_id AS qid, coalesce(nullif(substr(coalesce(title, ''), 1, 40), ''), doc_type, '') || ' 자료에서 ' || regexp_replace(array_to_string(list_slice(regexp_extract_all(ev, '[가-힣A-Za-z0-9]{{2,}}'), 1, 4), ' '), '[는은이가을를][ \t\n\x0B\f\r]*$', '') || ' 관련 수치는?' AS question,
+substr(ev, 1, 160) AS gold_answer, substr(ev, 1, 200) AS gold_text, CASE WHEN regexp_matches(ev, '{_NUM}') THEN '수치' ELSE '사실' END AS q_type, 'mid' AS level, doc_id AS gold_doc_ids, chunk_id AS src_chunk, doc_type FROM ev WHERE ev IS NOT NULL)"""
+_KEY = r"substr(regexp_replace(coalesce(question, ''), '[^\p{L}\p{N}_]', '', 'g'), 1, 40)"
+_CHECKED = f"""{_GENERATED}, cs AS (SELECT ge.*, dc.text AS src, min(qid) OVER (PARTITION BY {_KEY}) AS first_qid FROM ge LEFT JOIN dc ON dc.chunk_id = src_chunk),
+ck AS (SELECT qid, q_type, CASE WHEN coalesce(gold_text, '') <> '' AND coalesce(src, '') <> '' THEN {_SHARE(GRAMS3('gold_text'), GRAMS3('src'), '0.0')} >= 0.8 ELSE q_type = '답없음' END AS ev_ok, {_SHARE(GRAMS3('question'), GRAMS3('src'), '0.0')} <= 0.6 AS copy_ok,
+NOT regexp_matches(coalesce(question, ''), '{V.DEICTIC}') AS deictic_ok, length(coalesce(question, '')) BETWEEN 8 AND 150 AS length_ok, qid = first_qid AS first_ok, CAST(NULL AS BOOLEAN) AS recall_ok FROM cs),
+sv AS (SELECT *, CASE WHEN ev_ok AND copy_ok AND deictic_ok AND length_ok AND first_ok THEN '통과' ELSE '보류' END AS verdict, concat_ws(' · ', CASE WHEN NOT ev_ok THEN '근거 실재' END, CASE WHEN NOT copy_ok THEN '복붙 아님' END, CASE WHEN NOT deictic_ok THEN '지시어 없음' END, CASE WHEN NOT length_ok THEN '길이 적정' END, CASE WHEN NOT first_ok THEN '중복 아님' END) AS reasons FROM ck)"""
+_VERDICT = "CASE WHEN value IS NULL THEN '-' WHEN CASE WHEN op = '<=' THEN value <= threshold ELSE value >= threshold END THEN 'pass' ELSE 'fail' END AS verdict"
+_VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)" for x in r) + ")" for r in rows)
+_MEASURED = ["faithfulness", "answer_relevancy", "answer_correctness", "citation_accuracy", "refusal_ok", "context_recall"]
+_JUDGED_REST = _JUDGED[len(_G) :]
+_METRIC_ROWS = "SELECT strftime(l_shipdate, '%Y%m') AS ym, round(sum(l_extendedprice * (1 - l_discount)), 2) AS x FROM lineitem WHERE l_returnflag <> 'R' AND strftime(l_shipdate, '%Y%m') BETWEEN '200001' AND '200012' GROUP BY 1"
+SQL |= {
+    "answer_metrics": f"WITH {_EVALUATED} SELECT * FROM em",
+    "metric_verdicts": f"WITH {_EVALUATED}, mv AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 6) AS value FROM em" for m in _MEASURED) + f"), ct(grp, metric, op, threshold) AS (VALUES {_VALUES(M.CATALOG)}) SELECT grp, metric, op, threshold, value, {_VERDICT} FROM ct LEFT JOIN mv USING (metric)",
+    "generated_questions": f"WITH {_GENERATED} SELECT * FROM ge",
+    "self_check": f"WITH {_CHECKED} SELECT * EXCLUDE (q_type) FROM sv",
+    "checked_set": f"WITH {_CHECKED} SELECT ge.*, verdict, reasons, recall_ok FROM ge LEFT JOIN sv USING (qid)",
+    "set_verdicts": f"WITH {_G}, ki AS ({SQL['known_item_set']}), st AS (WITH gq AS (SELECT * FROM ki){_JUDGED_REST}, {_detail()} SELECT round(avg(recall_1), 6) AS recall_1, round(avg(recall_5), 6) AS recall_5 FROM de), ms AS (SELECT 'known-item' AS set_name, 'recall_1' AS metric, recall_1 AS value FROM st UNION ALL SELECT 'known-item', 'recall_5', recall_5 FROM st), lm(set_name, metric, op, threshold) AS (VALUES {_VALUES(V.LIMITS)}) SELECT set_name, metric, op, threshold, value, {_VERDICT} FROM lm LEFT JOIN ms USING (set_name, metric)",
+    "exec_match_matrix": f"""WITH a AS ({_METRIC_ROWS}), b AS (SELECT ym, round(sum(l_extendedprice * (1 - l_discount)), 2) AS x FROM (SELECT *, strftime(l_shipdate, '%Y%m') AS ym FROM lineitem WHERE l_returnflag <> 'R') WHERE ym LIKE '2000%' GROUP BY 1),
+c AS (SELECT strftime(o_orderdate, '%Y%m') AS ym, round(sum(o_totalprice), 2) AS x FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 2000 GROUP BY 1), e AS (SELECT strftime(o_orderdate, '%Y%m') AS ym, round(sum(o_totalprice), 2) AS x FROM orders WHERE year(o_orderdate) = 2000 GROUP BY 1)
+SELECT 'c1' AS case_id, true AS made, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) + (SELECT count(*) FROM (FROM b EXCEPT FROM a)) = 0 AS matched UNION ALL SELECT 'c2', true, (SELECT count(*) FROM (FROM c EXCEPT FROM e)) + (SELECT count(*) FROM (FROM e EXCEPT FROM c)) = 0 UNION ALL SELECT 'c3', false, false""",
+}

@@ -149,5 +149,6 @@ def test_first_last_reads_every_load(spark, tmp_path):
     spark.createDataFrame([("EMAIL", "MAIL"), ("NEWS", None)], "code string, aliases string").write.parquet(f"{tmp_path}/source_types.parquet")
     df = extra.first_last(spark, str(tmp_path))
     got = {r.doc_type: r for r in df.collect()}
-    assert df.columns == ["doc_type", *(f"L{k}" for k in range(1, 13)), "delta", "regressed"]
+    assert df.columns == ["doc_type", "load_no", "p", "delta", "regressed"]
+    assert sorted((r.doc_type, r.load_no, r.p) for r in df.collect()) == [("EMAIL", 2, 1.0), ("EMAIL", 5, 0.0), *(("NEWS", k, float(k > 11)) for k in range(1, 13))]
     assert (got["NEWS"].delta, got["NEWS"].regressed, got["EMAIL"].delta, got["EMAIL"].regressed) == (1.0, False, -1.0, True)
