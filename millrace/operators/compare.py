@@ -78,3 +78,23 @@ def rubric(scores: DataFrame, limit: float = 0.75) -> DataFrame:
     """(mean_score, no_answer_accuracy, verdict) over (score, is_no_answer)."""
     mean = F.avg("score")
     return scores.agg(F.round(mean, 6).alias("mean_score"), F.round(F.avg(F.when(F.col("is_no_answer"), F.col("score"))), 6).alias("no_answer_accuracy"), F.when(mean >= limit, "pass").otherwise("fail").alias("verdict"))
+
+
+RUN_METRICS = ("recall_1", "recall_5", "recall_10", "mrr", "ndcg_10")
+RUN_SETTINGS = ("eval_version", "setting", "chunking", "header", "tokenizer", "reranker", "candidates", "note")
+
+
+def run_record(detail: DataFrame, run_id: str, run_on: str, **settings: str) -> DataFrame:
+    """One row of the table of runs: id, day, number of questions, settings, and the mean of each metric that ``detail`` has, null for others."""
+    unknown = set(settings) - set(RUN_SETTINGS)
+    if unknown:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    means = [(F.round(F.avg(m), 6) if m in detail.columns else F.lit(None).cast("double")).alias(m) for m in RUN_METRICS]
+    row = detail.agg(F.count(F.lit(1)).alias("n_questions"), *means)
+    return row.select(F.lit(run_id).alias("run_id"), F.lit(run_on).cast("date").alias("run_on"), *(F.lit(settings.get(c, "")).alias(c) for c in RUN_SETTINGS), "n_questions", *RUN_METRICS)
+
+
+def record_run(record: DataFrame, path: str) -> None:
+    """Appends a record to the table of runs at ``path``, one folder a run; a run recorded again replaces its former record."""
+    run_id = record.first().run_id
+    record.drop("run_id").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")

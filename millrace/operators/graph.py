@@ -85,7 +85,8 @@ def run(questions: DataFrame, retriever: R.Retriever, p: Preset, answer: Callabl
     """One row per question: route, sub-queries, contexts, answer, faithfulness, retries and trace.
 
     The rewrite is one further pass over the questions whose hits were all graded out, joined back; generation is
-    extractive unless ``answer(questions, hits, k)`` is given; a withheld answer says so.
+    extractive unless ``answer(questions, hits, k)`` is given, which is asked once more where its answer is weakly
+    grounded; one that stays weak is withheld and says so.
     """
     state = questions.select("qid", "question", route().alias("route"), (subqueries() if p.decompose else F.array(F.coalesce("question", F.lit("")))).alias("subs"))
     docs = cut(_retrieve(state, retriever, p), "graph-docs")
@@ -109,8 +110,15 @@ def run(questions: DataFrame, retriever: R.Retriever, p: Preset, answer: Callabl
         out = cut(out, "graph-answers")
         out = out.join(M.faithfulness(out.select("qid", "answer", "contexts")), "qid", "left")
         weak = (F.size("contexts") > 0) & (F.col("faithfulness") < LEAST_FAITH)
-        # an extractive answer made anew is the same, so a second weak one is withheld at once
-        out = out.withColumn("regen", F.coalesce(weak, F.lit(False)).cast("int")).withColumn("answer", F.when(weak, WITHHELD).otherwise(F.col("answer")))
+        out = out.withColumn("regen", F.coalesce(weak, F.lit(False)).cast("int"))
+        if answer:
+            # a weak answer is made once more; an extractive one would come out the same
+            lost = cut(out.where("regen = 1").drop("faithfulness"), "graph-weak")
+            again = answer(questions.join(lost.select("qid"), "qid", "left_semi"), top.join(lost.select("qid"), "qid", "left_semi"), p.k)
+            second = cut(lost.drop("answer").join(again.select("qid", "answer"), "qid", "left").withColumn("answer", F.coalesce("answer", F.lit(REFUSAL))), "graph-second")
+            second = second.join(M.faithfulness(second.select("qid", "answer", "contexts")), "qid", "left")
+            out = out.where("regen = 0").unionByName(second)
+        out = out.withColumn("answer", F.when(F.coalesce(weak, F.lit(False)), WITHHELD).otherwise(F.col("answer")))
     else:
         out = out.withColumn("faithfulness", F.lit(None).cast("double")).withColumn("regen", F.lit(0))
     step = lambda node, value: F.struct(F.lit(node).alias("node"), value.cast("string").alias("result"))

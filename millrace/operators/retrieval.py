@@ -230,20 +230,35 @@ MODES = ["bm25", "dense", "sparse", "hybrid", "hybrid+rerank", "hybrid+rerank+mm
 
 
 class Retriever:
-    """All six modes over one corpus. Parts are built once, written to the shared folder, and reused by the modes."""
+    """All six modes over one corpus. Parts are built once, written to the shared folder, and reused by the modes.
 
-    def __init__(self, chunks: DataFrame, parts: tuple[str, ...] = ("bm25", "dense", "sparse"), tokenize: str = "space", where: str | None = None):
+    ``embed(df, id column, text column)`` gives (id, vec) of chunks and of questions, the hashed vectors where none is
+    given; ``scorer(question column, text column)`` gives the relevance by which candidates are reranked.
+    """
+
+    def __init__(
+        self,
+        chunks: DataFrame,
+        parts: tuple[str, ...] = ("bm25", "dense", "sparse"),
+        tokenize: str = "space",
+        where: str | None = None,
+        embed: Callable[[DataFrame, str, str], DataFrame] = hashed_vectors,
+        scorer: Callable[[str, str], Column] = K.stem_overlap,
+    ):
         docs = corpus(chunks)
+        self.embed, self.scorer = embed, scorer
+        self._shared: dict[tuple, DataFrame] = {}
+        self._kept: list[dict[str, DataFrame]] = []
         self.docs = cut(docs.where(where) if where else docs, "corpus")  # a filter holds for every part alike
         self.parts, self.tokenize = parts, K.tokenizer(tokenize)
-        self.vectors = cut(hashed_vectors(self.docs, "chunk_id", "text"), "vectors") if "dense" in parts else None
+        self.vectors = cut(embed(self.docs, "chunk_id", "text"), "vectors") if "dense" in parts else None
 
     def part(self, name: str, questions: DataFrame, k: int) -> DataFrame:
         if name == "bm25":
             return bm25(self.docs, questions, k, self.tokenize)
         if name == "sparse":
             return sparse(self.docs, questions, k)
-        return dense(self.vectors, hashed_vectors(questions, "qid", "question"), k)
+        return dense(self.vectors, self.embed(questions, "qid", "question"), k)
 
     def search(self, questions: DataFrame, mode: str = MODES[-1], k: int = TOP, cand: int = CANDIDATES, lam: float = LAMBDA, per_doc: int = PER_DOC, rrf_k: int = RRF_K, lists: dict[str, DataFrame] | None = None) -> DataFrame:
         """(qid, rank, chunk_id, doc_id, text, score, via). ``lists``: the parts' hits where the caller has them already. An unknown mode is an error; no hits, no rows."""
@@ -255,14 +270,24 @@ class Retriever:
             hits = (lists or {}).get(mode)
             hits = self.part(mode, questions, cand) if hits is None else hits
             return hits.where(F.col("rank") <= k).withColumn("via", F.lit(mode)).join(texts, "chunk_id").select(columns)
-        fused = hybrid(lists or self.lists(questions, cand), cand, rrf_k)
+        lists = lists or self.lists(questions, cand)
+        if not any(lists is x for x in self._kept):
+            self._kept.append(lists)  # so that no later list takes over its identity
+        key = (*sorted((p, id(df)) for p, df in lists.items()), cand, rrf_k)
+        fused = self._once(("fused", *key), lambda: hybrid(lists, cand, rrf_k))
         if "rerank" not in mode:
             return fused.where(F.col("rank") <= k).join(texts, "chunk_id").select(columns)
-        hits = rerank(fused, self.docs, questions)
+        hits = self._once(("reranked", *key), lambda: rerank(fused, self.docs, questions, self.scorer))
         if "mmr" in mode:
             hits = cap_per_doc(mmr(hits, lam, 2 * k), per_doc)
         return hits.where(F.col("rank") <= k).select(columns)
 
+    def _once(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        """A list that several modes read, written on first use; ``key`` holds the identity of the lists it came from, which are kept with it."""
+        if key not in self._shared:
+            self._shared[key] = cut(make(), str(key[0]))
+        return self._shared[key]
+
     def lists(self, questions: DataFrame, cand: int = CANDIDATES) -> dict[str, DataFrame]:
         """The hits of every part, written once so that several modes can share them."""
         return {p: cut(self.part(p, questions, cand), f"hits-{p}") for p in self.parts}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,37 @@ class Catalog:
         return spark.createDataFrame([(a, k, i) for a, (k, i) in self.alias_index().items()], "alias string, kind string, id string")
 
 
+#: The sheets of a catalog workbook and their columns, headed in the fourth row.
+SHEETS = {
+    "metrics": ("지표정의", {"지표ID": "id", "지표명 (업무 용어)": "name", "별칭 (; 구분)": "alias", "대상 뷰 · 테이블": "view", "집계식 (SQL)": "expr", "기본 필터": "filter", "단위": "unit", "기간 단위": "period"}),
+    "codes": ("코드값사전", {"구분": "kind", "코드": "code", "표준명": "name", "별칭 (; 구분)": "alias", "사용 컬럼": "column"}),
+    "allow": ("allow_list", {"뷰 · 테이블": "table", "허용 컬럼 (; 구분, * 면 전체)": "columns", "사용": "use"}),
+}
+SHEET_HEADER_ROW = 3
+
+
+def catalog_of(sheets: dict[str, list[dict]]) -> Catalog:
+    """The catalog of rows by standard column name, see ``SHEETS``; lists are split at semicolons, rows without an id, code or table are left out."""
+    listed = lambda v: tuple(x.strip() for x in str(v or "").split(";") if x.strip())
+    text = lambda r, c, default="": str(r.get(c) or default).strip()
+    return Catalog(
+        [Metric(text(r, "id"), text(r, "name"), listed(r.get("alias")), text(r, "view"), text(r, "expr"), text(r, "filter"), text(r, "unit"), text(r, "period", "월")) for r in sheets.get("metrics", []) if text(r, "id")],
+        [Code(text(r, "kind"), text(r, "code"), text(r, "name"), listed(r.get("alias")), text(r, "column")) for r in sheets.get("codes", []) if text(r, "code")],
+        [Allowed(text(r, "table"), listed(r.get("columns")) or ("*",), text(r, "use", "Y")) for r in sheets.get("allow", []) if text(r, "table")],
+    )
+
+
+def read_catalog(path: str) -> Catalog:
+    """The catalog of a workbook; a sheet of the workbook is small and is read on the driver."""
+    import pandas as pd
+
+    rows = {}
+    for key, (sheet, names) in SHEETS.items():
+        found = pd.read_excel(path, sheet_name=sheet, header=SHEET_HEADER_ROW, dtype=str, keep_default_na=False).rename(columns=names)
+        rows[key] = found[[c for c in names.values() if c in found.columns]].to_dict("records")
+    return catalog_of(rows)
+
+
 def _count(question: Column, words: list[str]) -> Column:
     return sum((F.contains(question, F.lit(w)).cast("int") for w in words), F.lit(0))
 
@@ -291,3 +323,45 @@ def result_table(df: DataFrame, label: str = "", rows: int = 20) -> str:
 def hybrid_context(df: DataFrame, label: str, texts: list[str]) -> str:
     """A metric result and the first three text chunks as one context."""
     return "\n\n".join([result_table(df, label), *(f"[{i}]\n{t}" for i, t in enumerate(texts[:3], 1))])
+
+
+def make_sql_with(question: str, catalog: Catalog, spark: SparkSession, ask: Callable[[str], str] | None = None, prompt: str | None = None) -> tuple[str, str]:
+    """(sql, how): by rule where a rule gives one, else by the model ``ask``, whose fences are taken off; ("", "none") without either.
+
+    ``prompt`` holds {schema} and {question}. What a model writes must pass ``validate`` like any other query.
+    """
+    made = make_sql(question, catalog)
+    if made:
+        return made, "rule"
+    if ask is None:
+        return "", "none"
+    from millrace.sources.services import SQL_PROMPT
+
+    filled = (prompt or SQL_PROMPT).replace("{schema}", schema_prompt(spark, catalog)).replace("{question}", question)
+    try:
+        reply = str(ask(filled) or "")
+    except Exception:
+        reply = ""
+    sql = re.sub(r"(?m)^```(?:sql)?|```$", "", reply.strip()).strip()
+    return (sql, "model") if sql else ("", "none")
+
+
+def sql_scores(spark: SparkSession, cases: list[tuple[str, str, str]], catalog: Catalog, ask: Callable[[str], str] | None = None) -> DataFrame:
+    """One row: questions, share of valid SQL among those that should have SQL, share of these whose result is that of the given query.
+
+    ``cases``: (question, wanted route, wanted SQL or blank), a set that people wrote. A query that fails counts as wrong.
+    """
+    valid, exact = [], []
+    for question, _, gold in cases:
+        if not gold.strip():
+            continue
+        made, _ = make_sql_with(question, catalog, spark, ask)
+        valid.append(bool(made) and validate(spark, made, catalog).ok)
+        try:
+            exact.append(valid[-1] and exec_match(run_sql(spark, made, catalog), spark.sql(gold)))
+        except Exception:
+            exact.append(False)
+    asked = spark.createDataFrame([(q, w) for q, w, _ in cases], "question string, wanted string").withColumn("qid", F.monotonically_increasing_id().cast("string"))
+    routed = route(asked, catalog).join(asked.select("qid", "wanted"), "qid").agg(F.round(F.avg((F.col("route") == F.col("wanted")).cast("double")), 3).alias("r")).first().r
+    share = lambda xs: round(sum(xs) / len(xs), 3) if xs else None
+    return spark.createDataFrame([(len(cases), routed, share(valid), share(exact))], "n_questions bigint, routing_accuracy double, valid_sql double, execution_accuracy double")

@@ -303,6 +303,17 @@ def exec_matrix(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "case_id string, made boolean, matched boolean")
 
 
+def sql_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Routing, valid SQL and equal results over a small set of questions with hand-written queries."""
+    metric_views(spark, d)
+    cases = [
+        ("2000년 매출은?", "sql", "SELECT ym, sum(l_extendedprice * (1 - l_discount)) AS x FROM v_lineitem WHERE l_returnflag <> 'R' AND ym BETWEEN '200001' AND '200012' GROUP BY ym"),
+        ("2000년 주문액은?", "sql", "SELECT ym, sum(o_totalprice) AS x FROM v_orders WHERE ym LIKE '2000%' GROUP BY ym"),
+        ("재고가 왜 늘었는지 배경을 알려 달라", "rag", ""), ("직원 연봉은?", "none", ""),
+    ]
+    return S.sql_scores(spark, cases, CATALOG)
+
+
 def guard_cases(spark: SparkSession, d: str) -> DataFrame:
     """What the guard says of queries that must and must not pass."""
     metric_views(spark, d)
@@ -324,7 +335,7 @@ QUERIES = {
     "run_intervals": lambda s, d: P.with_interval(runs(s, d)), "run_pair": lambda s, d: P.two_runs(runs(s, d), "RUN-0001", "RUN-0002"), "run_changes": run_changes, "run_mcnemar": run_mcnemar,
     "run_delta_base": lambda s, d: P.delta_vs_base(runs(s, d), "RUN-0001", "run_id", ("p",)), "run_delta_previous": lambda s, d: P.delta_vs_previous(runs(s, d), "run_id", "p"), "preset_summary": presets, "preset_delta": preset_delta, "graph_plan": graph_plan, "graph_grade": graph_grade,
     "route_questions": lambda s, d: S.route(table(s, d, "golden_sample100"), CATALOG), "alias_hits": lambda s, d: S.alias_hits(table(s, d, "golden_sample100"), CATALOG), "period_extract": lambda s, d: table(s, d, "golden_sample100").select("qid", S.period_of("gold_text").alias("p")).select("qid", "p.lo", "p.hi"),
-    "metric_revenue": metric("2000년 매출은?"), "metric_avg_price": metric("월별 평균 단가 추이"), "metric_order_value": metric("긴급 주문액 합계"), "metric_top_nations": top_codes, "exec_match_matrix": exec_matrix, "guard_cases": guard_cases,
+    "metric_revenue": metric("2000년 매출은?"), "metric_avg_price": metric("월별 평균 단가 추이"), "metric_order_value": metric("긴급 주문액 합계"), "metric_top_nations": top_codes, "exec_match_matrix": exec_matrix, "sql_scores": sql_scores, "guard_cases": guard_cases,
     "daily_event_counts": lambda s, d: windowed_counts(table(s, d, "events")),
 }
 

@@ -175,3 +175,20 @@ def test_evaluation_sets(spark, rows):
     assert [r.question for r in made.collect()] == ["어느 회사의 이익이 늘었나?"]
     parsed = spark.createDataFrame([('x {"question":"q","answer":"a","evidence":"e"} y',), ("none",), ('{"question":"q"}',)], "a string").select(V.parse_item("a").alias("p")).collect()
     assert parsed[0].p.question == "q" and parsed[1].p is None and parsed[2].p is None
+
+
+def test_a_bucket_split_over_tasks_keeps_every_link(spark, monkeypatch):
+    monkeypatch.setattr(D, "BUCKET_PART", 3)
+    base = " ".join(f"낱말{i}" for i in range(400))
+    docs = spark.createDataFrame([(i, base + f" {'끝' * (i + 1)}") for i in range(12)] + [(99, base + " 끝"), (50, "다른 글")], "doc_id int, body string")
+    found = D.near(docs)
+    assert found.links().count() == 66
+    assert {r.id: r.n_links for r in found.link_counts().collect()} == {str(i): 11 for i in range(12)} | {"50": 0}
+    classes = {r.id: r.class_id for r in found.members.collect()}
+    assert len({classes[str(i)] for i in [*range(12), 99]}) == 1 and classes["50"] == "50"
+
+
+def test_synthetic_questions_go_on_until_enough(spark):
+    docs = spark.createDataFrame([(f"D{i}", f"c{i:03d}", f"{'가' * 150}{i:03d}") for i in range(60)], "doc_id string, chunk_id string, text string")
+    made = V.synthetic_queries(docs, lambda text: "무엇을 물어야 하는 질문인가요" if int(text[-3:]) % 10 == 0 else "", n=5)
+    assert made.count() == 5

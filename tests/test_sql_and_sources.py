@@ -152,3 +152,12 @@ def test_first_last_reads_every_load(spark, tmp_path):
     assert df.columns == ["doc_type", "load_no", "p", "delta", "regressed"]
     assert sorted((r.doc_type, r.load_no, r.p) for r in df.collect()) == [("EMAIL", 2, 1.0), ("EMAIL", 5, 0.0), *(("NEWS", k, float(k > 11)) for k in range(1, 13))]
     assert (got["NEWS"].delta, got["NEWS"].regressed, got["EMAIL"].delta, got["EMAIL"].regressed) == (1.0, False, -1.0, True)
+
+
+def test_an_encoding_that_shows_late_in_the_file(spark, tmp_path):
+    from millrace.sources import readers
+
+    lines = ["no,word"] + [f"{i},plain" for i in range(20_000)] + ["20000,가격"]
+    (tmp_path / "late.csv").write_bytes("\n".join(lines).encode("cp949"))
+    got = readers.read_table(spark, str(tmp_path / "late.csv"), "no int, word string")
+    assert got.count() == 20_001 and got.where("no = 20000").first().word == "가격"
