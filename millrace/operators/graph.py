@@ -71,17 +71,27 @@ def rewritten(question: str = "question") -> Column:
     return F.array(F.array_join(F.slice(F.regexp_extract_all(q, F.lit(K.KEYWORD), F.lit(0)), 1, 8), " "), q)
 
 
-def _retrieve(state: DataFrame, retriever: R.Retriever, p: Preset) -> DataFrame:
-    """Hits of all sub-queries; several lists of one question are fused by rank, one stays as it is."""
+def _retrieve(state: DataFrame, retriever: R.Retriever, p: Preset, shared: dict | None = None) -> DataFrame:
+    """Hits of all sub-queries; several lists of one question are fused by rank, one stays as it is.
+
+    ``shared`` keeps the sub-queries and the hits of every part, so that presets with the same sub-queries search once.
+    """
     subs = state.select("qid", F.posexplode("subs").alias("i", "question")).withColumn("sid", F.concat_ws("#", "qid", "i"))
-    hits = cut(retriever.search(subs.select(F.col("sid").alias("qid"), "question"), p.mode, 2 * p.k, p.cand), "sub-hits")
+    lists = None
+    if shared is not None:
+        key = (p.decompose, p.cand)
+        if key not in shared:
+            subs = cut(subs, "sub-queries")
+            shared[key] = subs, retriever.lists(subs.select(F.col("sid").alias("qid"), "question"), p.cand)
+        subs, lists = shared[key]
+    hits = cut(retriever.search(subs.select(F.col("sid").alias("qid"), "question"), p.mode, 2 * p.k, p.cand, lists=lists), "sub-hits")
     listed = hits.withColumnRenamed("qid", "sid").join(subs.select("sid", "qid", "i"), "sid")
     several = state.select("qid", (F.size("subs") > 1).alias("several"))
     scores = listed.join(several, "qid").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.when(F.col("several"), 1 / (R.RRF_K + F.col("rank"))).otherwise(-F.col("rank").cast("double"))), 9).alias("score"), F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     return R.top(scores, 2 * p.k)
 
 
-def run(questions: DataFrame, retriever: R.Retriever, p: Preset, answer: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def run(questions: DataFrame, retriever: R.Retriever, p: Preset, answer: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, shared: dict | None = None) -> DataFrame:
     """One row per question: route, sub-queries, contexts, answer, faithfulness, retries and trace.
 
     The rewrite is one further pass over the questions whose hits were all graded out, joined back; generation is
@@ -89,7 +99,7 @@ def run(questions: DataFrame, retriever: R.Retriever, p: Preset, answer: Callabl
     grounded; one that stays weak is withheld and says so.
     """
     state = questions.select("qid", "question", route().alias("route"), (subqueries() if p.decompose else F.array(F.coalesce("question", F.lit("")))).alias("subs"))
-    docs = cut(_retrieve(state, retriever, p), "graph-docs")
+    docs = cut(_retrieve(state, retriever, p, shared), "graph-docs")
     keep = lambda d: d.join(questions.select("qid", "question"), "qid").where(grade()).drop("question") if p.grade else d
     graded = cut(keep(docs), "graph-graded")
     retried = questions.select("qid", F.lit(0).alias("retry"))
@@ -131,7 +141,8 @@ def compare(presets: list[str], questions: DataFrame, retriever: R.Retriever, go
 
     ``golden``: (qid, q_type, gold_doc_ids, gold_text, must_include).
     """
-    done = reduce(DataFrame.unionByName, [cut(run(questions, retriever, PRESETS[n]), f"preset-{n}") for n in presets])
+    shared: dict = {}
+    done = reduce(DataFrame.unionByName, [cut(run(questions, retriever, PRESETS[n], shared=shared), f"preset-{n}") for n in presets])
     info = golden.select("qid", "q_type", "gold_text", "must_include")
     answers = done.join(info, "qid", "left")
     parts = []
