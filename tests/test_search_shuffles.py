@@ -30,6 +30,7 @@ def shuffled(spark) -> int:
     "name",
     [
         "bm25_topk",
+        "hybrid_rrf",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
