@@ -31,6 +31,7 @@ def shuffled(spark) -> int:
     [
         "bm25_topk",
         "hybrid_rrf",
+        "failed_questions",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
