@@ -32,6 +32,7 @@ def shuffled(spark) -> int:
         "bm25_topk",
         "hybrid_rrf",
         "failed_questions",
+        "screened_set",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
