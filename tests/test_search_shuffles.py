@@ -33,6 +33,7 @@ def shuffled(spark) -> int:
         "hybrid_rrf",
         "failed_questions",
         "screened_set",
+        "smoke_summary",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
