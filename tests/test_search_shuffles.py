@@ -34,6 +34,7 @@ def shuffled(spark) -> int:
         "failed_questions",
         "screened_set",
         "smoke_summary",
+        "union_dedup",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
