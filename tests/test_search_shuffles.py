@@ -35,6 +35,7 @@ def shuffled(spark) -> int:
         "screened_set",
         "smoke_summary",
         "union_dedup",
+        "answer_metrics",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
