@@ -36,6 +36,7 @@ def shuffled(spark) -> int:
         "smoke_summary",
         "union_dedup",
         "answer_metrics",
+        "run_changes",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
