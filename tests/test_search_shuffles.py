@@ -37,6 +37,7 @@ def shuffled(spark) -> int:
         "union_dedup",
         "answer_metrics",
         "run_changes",
+        "metrics_by_type",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
