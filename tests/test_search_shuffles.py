@@ -38,6 +38,7 @@ def shuffled(spark) -> int:
         "answer_metrics",
         "run_changes",
         "metrics_by_type",
+        "uniqueness",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
