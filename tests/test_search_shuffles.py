@@ -39,6 +39,7 @@ def shuffled(spark) -> int:
         "run_changes",
         "metrics_by_type",
         "uniqueness",
+        "faithfulness",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
