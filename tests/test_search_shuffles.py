@@ -47,3 +47,37 @@ def test_rows_shuffled(spark, tables, name):
     entry.queries()[name](spark, tables).write.format("noop").mode("overwrite").save()
     # every question shares words with every chunk
     assert 0 < shuffled(spark) - before < N_CHUNKS * N_QUESTIONS / 2
+
+
+def test_all_parts_walk_the_texts_once(spark, tables):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import retrieval as R
+    from millrace.plans import search as S
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    chunks = spark.read.parquet(f"{tables}/chunks.parquet").withColumn("text", F.udf(counted, "string").asNondeterministic()("text"))
+    R.Retriever(chunks).lists(S.golden(spark, tables))
+    # one corpus: rows that stand once, rows that stand more than once, and their ids
+    assert 0 < seen.value <= 3 * (N_CHUNKS + 1)
+
+
+def test_words_in_workers_are_those_of_the_engine(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from millrace.functions import tokens as K
+
+    texts = ["HBM3.5 가격은 10% 올랐다", "", "ß İ 으로서 에서부터 학교에서부터", "áb x² ½ 𝒜𝟙 𠀀 \u0085 Ⅷ_", "끝", "앞\x00뒤"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = df.select("i", K.words("t"), K.stems("t"), F.lower("t")).orderBy("i").collect()
+    held = np.unpackbits(np.frombuffer(K.word_points(spark), np.uint8)).view(bool)
+    words, row = K.split_words(*K.points_of([r[3] for r in want]), held)
+    got = [[w for w, at in zip(words.to_pylist(), row.tolist(), strict=True) if at == i] for i in range(len(texts))]
+    assert got == [r[1] for r in want]
+    assert [[K.stem(w) for w in ws] for ws in got] == [r[2] for r in want]
