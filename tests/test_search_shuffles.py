@@ -81,3 +81,28 @@ def test_words_in_workers_are_those_of_the_engine(spark):
     got = [[w for w, at in zip(words.to_pylist(), row.tolist(), strict=True) if at == i] for i in range(len(texts))]
     assert got == [r[1] for r in want]
     assert [[K.stem(w) for w in ws] for ws in got] == [r[2] for r in want]
+
+
+def test_presets_search_once(spark, tables):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import graph as G
+    from millrace.operators import retrieval as R
+
+    made = []
+
+    class Counting(R.Retriever):
+        def lists(self, questions, cand=R.CANDIDATES):
+            made.append(cand)
+            return super().lists(questions, cand)
+
+    retriever, shared = Counting(spark.read.parquet(f"{tables}/chunks.parquet").limit(40)), {"decompose": True}
+    asked = spark.createDataFrame([("a", "hbm 가격 물량 비교 그리고 재고 계약 n7"), ("b", "n3 계약")], "qid string, question string")
+    state = {False: asked.withColumn("subs", F.array("question")), True: asked.withColumn("subs", G.subqueries())}
+    found = {}
+    for name in ("v1_hybrid", "v4_decompose"):
+        p = G.PRESETS[name]
+        found[name] = G._retrieve(state[p.decompose], retriever, p, shared).orderBy("qid", "rank").collect()
+    assert made == [50]
+    # the plain preset has what it finds by itself
+    assert found["v1_hybrid"] == G._retrieve(state[False], retriever, G.PRESETS["v1_hybrid"]).orderBy("qid", "rank").collect()
