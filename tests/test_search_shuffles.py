@@ -67,6 +67,15 @@ def test_all_parts_walk_the_texts_once(spark, tables):
     assert 0 < seen.value <= 3 * (N_CHUNKS + 1)
 
 
+def test_union_walks_the_texts_once(spark, tables, monkeypatch):
+    from millrace.operators import retrieval as R
+
+    walks, once = [], R.searches
+    monkeypatch.setattr(R, "searches", lambda docs, questions, parts, *rest: walks.append(len(parts)) or once(docs, questions, parts, *rest))
+    entry.queries()["union_dedup"](spark, tables)
+    assert walks == [2]
+
+
 def test_words_in_workers_are_those_of_the_engine(spark):
     import numpy as np
     from pyspark.sql import functions as F
