@@ -40,6 +40,7 @@ def shuffled(spark) -> int:
         "metrics_by_type",
         "uniqueness",
         "faithfulness",
+        "cap_per_doc",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
