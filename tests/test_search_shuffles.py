@@ -41,6 +41,7 @@ def shuffled(spark) -> int:
         "uniqueness",
         "faithfulness",
         "cap_per_doc",
+        "mode_metrics",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
