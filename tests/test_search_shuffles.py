@@ -78,6 +78,15 @@ def test_union_walks_the_texts_once(spark, tables, monkeypatch):
     assert walks == [2]
 
 
+def test_evidence_rows_shuffled(spark, tables, tmp_path):
+    d = str(tmp_path)
+    for name in ("chunks", "golden_sample100"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{tables}/{name}.parquet")
+    spark.read.parquet(f"{tables}/raw.parquet").selectExpr("*", "'t' as title", "'o' as org_name").write.parquet(f"{d}/raw.parquet")
+    spark.createDataFrame([("NEWS", "뉴스", "news", "g", 1)], "code string, ko_name string, aliases string, grp string, security int").write.parquet(f"{d}/source_types.parquet")
+    test_rows_shuffled(spark, d, "evidence_link")
+
+
 def test_words_in_workers_are_those_of_the_engine(spark):
     import numpy as np
     from pyspark.sql import functions as F
