@@ -42,6 +42,7 @@ def shuffled(spark) -> int:
         "faithfulness",
         "cap_per_doc",
         "mode_metrics",
+        "run_mcnemar",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
