@@ -43,6 +43,7 @@ def shuffled(spark) -> int:
         "cap_per_doc",
         "mode_metrics",
         "run_mcnemar",
+        "mode_pivot",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
