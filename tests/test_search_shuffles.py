@@ -44,6 +44,7 @@ def shuffled(spark) -> int:
         "mode_metrics",
         "run_mcnemar",
         "mode_pivot",
+        "search_modes",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
