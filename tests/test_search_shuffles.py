@@ -45,6 +45,7 @@ def shuffled(spark) -> int:
         "run_mcnemar",
         "mode_pivot",
         "search_modes",
+        "rerank_overlap",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
