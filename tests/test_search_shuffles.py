@@ -46,6 +46,7 @@ def shuffled(spark) -> int:
         "mode_pivot",
         "search_modes",
         "rerank_overlap",
+        "parameter_sweep",
     ],
 )
 def test_rows_shuffled(spark, tables, name):
@@ -82,6 +83,38 @@ def test_union_walks_the_texts_once(spark, tables, monkeypatch):
     assert walks == [2]
 
 
+def test_sweep_compares_texts_once_a_constant(spark, tables, monkeypatch):
+    from millrace.operators import retrieval as R
+
+    made, once = [], R.mmr_each
+    monkeypatch.setattr(R, "mmr_each", lambda hits, lams, *rest: made.append(lams) or once(hits, lams, *rest))
+    entry.queries()["parameter_sweep"](spark, tables)
+    assert made == [(0.5, 0.7, 1.0)] * 2
+
+
+def test_trade_offs_together_choose_as_each_by_itself(spark):
+    import numpy as np
+
+    from millrace.operators import retrieval as R
+
+    texts = ["", "가", "abc", "abcd", "abcda", "𝒜bcd", "abc\x00", "abcd efgh", "abcd efgx", "efgh abcd", "hbm 가격 물량 재고", "hbm 가격 물량 계약", "abcd"]
+    grams = [{t[i : i + 4] for i in range(max(1, len(t) - 3))} for t in texts]
+    assert R._alike(texts).tolist() == [[len(a & b) / len(a | b) for b in grams] for a in grams]
+    wide = ["".join(map(chr, range(0x4E00, 0x9000))), "".join(map(chr, range(0x20000, 0x2A000))), "乁乂七乄"]  # so many characters that four take more than 63 bits
+    wide[1] += "".join(map(chr, range(0x1000, 0x4E00)))
+    grams = [{t[i : i + 4] for i in range(max(1, len(t) - 3))} for t in wide]
+    assert R._alike(wide).tolist() == [[len(a & b) / len(a | b) for b in grams] for a in grams]
+    rows = [(q, i + 1, t, round(((i * 7 + len(q)) % 5) / 5, 2)) for q in ("a", "bb") for i, t in enumerate(texts)]
+    hits = spark.createDataFrame(rows, "qid string, rank int, text string, rerank double")
+    lams = (0.3, 0.7, 1.0)
+    found = R.mmr_each(hits, lams, 6).collect()
+    for lam in lams:
+        for q in ("a", "bb"):
+            rel = np.array([r[3] for r in rows if r[0] == q])
+            want = [texts[i] for i in R.select_diverse(rel, texts, lam, 6)]
+            assert [r.text for r in sorted((r for r in found if r.qid == q and r.lam == lam), key=lambda r: r.rank)] == want
+
+
 def test_evidence_rows_shuffled(spark, tables, tmp_path):
     d = str(tmp_path)
     for name in ("chunks", "golden_sample100"):
