@@ -140,6 +140,17 @@ def test_words_in_workers_are_those_of_the_engine(spark):
     assert [[K.stem(w) for w in ws] for ws in got] == [r[2] for r in want]
 
 
+def test_presets_are_measured_together_in_many_tasks(spark, tables, monkeypatch):
+    from millrace.operators import metrics as M
+
+    made, once = [], M.evaluate_answers
+    monkeypatch.setattr(M, "evaluate_answers", lambda answers: made.append(answers) or once(answers))
+    entry.queries()["preset_summary"](spark, tables)
+    assert len(made) == 1
+    # few bytes, but every part stays
+    assert made[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_presets_search_once(spark, tables):
     from pyspark.sql import functions as F
 
